@@ -1,0 +1 @@
+"""The dialect has no streaming statements, so there is nothing here: no windows over time, watermarks or state."""
