@@ -116,12 +116,16 @@ class Engine:
         return Outcome("ack")
 
     def _write(self, s) -> Outcome:
+        return self._alone(lambda: self._change(s))
+
+    def _alone(self, change: Callable):
+        """Runs a change in the open transaction, or in one of its own; if it fails, nothing of it stays."""
         alone = self.store.open is None
         if alone:
             self.store.begin()
         mark = self.store.mark()
         try:
-            out = self._change(s)
+            out = change()
         except BaseException as e:
             if alone:
                 self.store.rollback()
@@ -171,6 +175,12 @@ class Engine:
             lines = [s.verb.capitalize()]
         return "\n".join(lines) + "\n"
 
+    def load(self, table: str, frame: DataFrame) -> int:
+        """Inserts a DataFrame's rows, matched by column name: the way in for data that no VALUES list could hold."""
+        if self.store is None:
+            raise Unsupported("this engine has no folder to write to")
+        return self._alone(lambda: changes.load(self.store, table, frame))
+
     # --- housekeeping ---------------------------------------------------------------------------------------------------
 
     def tables(self) -> list[str]:
