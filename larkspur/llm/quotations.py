@@ -72,7 +72,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
             quotes.append((level, []))
         quotes[-1][1].append(rest)
         inside = True
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n"), [(n, "\n".join(x)) for n, x in quotes if any(s.strip() for s in x)]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n"), [(n, "\n".join(filter(None, x))) for n, x in quotes if any(x)]
 
 
 def offered(own: str) -> list[int]:

@@ -1,0 +1,161 @@
+"""Token counts, packing and byte-level codes against the libraries themselves."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from larkspur.llm import byte_bpe, packing
+from larkspur.llm import token_counts as T
+
+PATH, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+ODD = ["a", "B", " ", "\n", "é", "é", "́", "1", "'s", "<|endoftext|>", "<|", "|>", "한", "하", " ", "　", "\x85", "\x1c", "Σ", "İ", "K", "字", "!!", "😀", "ো", "‍"]
+
+
+def odd_texts(n, most=200, seed=1):
+    r = random.Random(seed)
+    return ["".join(r.choice(ODD) for _ in range(r.randrange(most))) for _ in range(n)]
+
+
+def library(text):
+    return T.load(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_words_and_overlaps_give_the_library_s_ids():
+    e = T.Encoder(PATH)
+    texts = [*odd_texts(400), "", "word " * 500, "x" * 9000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [library(t) for t in texts]
+    for t in [*texts, "字" * 300 + " a", "é" * 100 + "字" * 300, "ab" * 2000]:
+        assert T.resynchronised(e.tokenizer, t, 40, 12, 4) == library(t), t[:60]
+
+
+def test_memo_that_is_full_changes_nothing(monkeypatch):
+    monkeypatch.setattr(T, "MEMO_WORDS", 5)
+    e = T.Encoder(PATH)
+    texts = [f"some words number {i} and more" for i in range(40)]
+    for _ in range(2):
+        assert [len(x) // 4 for x in e.ids(texts)] == [len(library(t)) for t in texts]
+    assert len(e.memo) <= 5
+
+
+def test_count_tokens(spark):
+    long = "one two three " * 3000
+    rows = [(1, "Hello world", 9), (2, None, 9), (3, "", 9), (4, long, 9), (5, "é字 😀", 9), (5, "é字 😀", 9), (None, "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = sorted(map(tuple, T.count_tokens(docs, PATH, chunk=500, overlap=40).collect()), key=str)
+    want = sorted(((i, len((t or "").encode()), n := len(library(t or "")), n > 2048) for i, t, _ in rows), key=str)
+    assert got == want
+    assert T.count_tokens(docs.limit(0), PATH).collect() == []
+
+
+@pytest.fixture(scope="module")
+def tik():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_codes_equal_the_other_library(tik):
+    c = byte_bpe.codec(RANKS, P.PATTERN)
+    every = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000] + [chr(i) for i in range(0x1F000, 0x1F700)]
+    texts = [*odd_texts(300, seed=5), "", "aaaaaaa" * 50, "  \n  x \t\n", *("a".join(every[i : i + 50]) + " .".join(every[i : i + 50]) for i in range(0, len(every), 50))]
+    for t, ids in zip(texts, c.ids(texts), strict=True):
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == tik.encode_ordinary(t) == c.encode(t)[0]
+        assert c.decode_bytes(ids) == t.encode() and c.decode(ids) == t
+
+
+def test_offsets_and_split_characters():
+    c = byte_bpe.codec(RANKS, P.PATTERN)
+    text = "né 😀 字!"
+    ids, spans = c.encode(text)
+    assert [text[a:b] for a, b in spans if b - a][0][0] == "n" and spans[-1][1] == len(text)
+    stream = byte_bpe.Decoder(c)
+    assert "".join(stream.feed([i], k == len(ids) - 1) for k, i in enumerate(ids)) == text
+    half = next(i for i, b in c.bytes_of.items() if b == b"\xf0")
+    assert stream.feed([half]) == "" and c.decode([half]) == "�"
+
+
+def test_round_trip(spark):
+    rows = [(1, "Hello  world"), (2, None), (3, ""), (4, "ab字" * 5000), (4, "ab字" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS ids_sha256")
+    c = byte_bpe.codec(RANKS, P.PATTERN)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = c.ids([t or ""])[0]
+        want.append((i, len(ids) // 4, sha(ids), sha((t or "").encode())))
+    assert sorted(map(tuple, byte_bpe.round_trip(docs, RANKS, P.PATTERN).collect())) == sorted(want)
+    back = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    assert sorted(r.ids for r in back.collect()) == sorted(t or "" for _, t in rows)
+    assert byte_bpe.round_trip(docs.limit(0), RANKS, P.PATTERN).collect() == []
+
+
+def check_packing(pieces, capacity):
+    by: dict[int, list] = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["word"] * r.choice([0, 1, 5, 30, 40, 41, 60, 63, 64, 65, 130, 400]))) for i in range(900)] + [(7, None), (7, None), (None, "null id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS offset", "2 AS piece")
+    got = packing.pack_documents(docs, PATH, capacity=64).collect()
+    n = check_packing(got, 64)
+    total = sum(p.length for p in got)
+    assert n <= -(-total // 64) * 1.03 + 1
+    of: dict = {}
+    for p in got:
+        of.setdefault(p.doc_id, []).append(p)
+    for i, t in rows[:50]:
+        if i == 7:
+            continue
+        ids = np.array([*library(t or ""), 1], "<u4")
+        parts = sorted(of[i], key=lambda p: p.piece)
+        assert [(p.start, p.length) for p in parts] == [(a, min(64, len(ids) - a)) for a in range(0, len(ids), 64)]
+        assert [p.ids_crc32 for p in parts] == [zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in parts]
+    assert len(of[7]) == 2 + -(-(len(library(rows[7][1])) + 1) // 64)
+    assert packing.pack_documents(docs.limit(0), PATH).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_place_every_document_once(seed):
+    r = random.Random(seed)
+    histogram = {x: r.randrange(1, 400) for x in r.sample(range(1, 257), r.randrange(1, 200))}
+    for large, groups in ((4, 6), (8, 12)):
+        plan = packing.plan(dict(histogram), 256, large, groups)
+        seen: dict[int, list] = {}
+        filled: dict[int, list] = {}
+        for length, rank, n, first, per, offset in plan.runs:
+            seen.setdefault(length, []).extend(range(rank, rank + n))
+            for k in range(n):
+                filled.setdefault(first + k // per, []).append((offset + length * (k % per), length))
+        assert {x: sorted(v) for x, v in seen.items()} == {x: list(range(n)) for x, n in histogram.items()}
+        assert len(filled) == plan.sequences
+        for spans in filled.values():
+            at = 0
+            for offset, length in sorted(spans):
+                assert offset == at
+                at += length
+            assert at <= 256
+
+
+def test_configurations_reach_the_known_optimum():
+    # 3 of 2/5 and 2 of 3/5 a time: pairs of one each fill sequences wholly
+    found = packing.configurations([60, 40], [100, 100], 100)
+    assert abs(sum(x for _, x in found) - 100) < 1e-6
