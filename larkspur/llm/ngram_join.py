@@ -4,8 +4,8 @@ A document's set holds its distinct n-word shingles (hashed to 64 bits).  Equal
 copies cost nothing beyond their own text.  Two classes of sizes n and m link when they share at least
 ``need(n, m) = ceil(t (n + m) / (1 + t))`` shingles.
 
-* Light, sizes up to a boundary x: for each partner size m a set lists all its subsets of need(n, m) shingles.  Two sets
-  of sizes n and m link exactly when a subset is in both lists.
+* Light, sizes up to a boundary x: for each partner size m a set lists all its subsets of need(n, m) shingles.  Sets of
+  sizes n and m link exactly when they meet in a list for these sizes, so a list's first set of either size joins all.
 * Heavy, where one size is above x: inverted lists.  Shingles are ordered from rare to frequent (by a count sketch of
   fixed size over all documents), and the first n - ceil(t n) + 1 of a set are posted; linked sets meet in such a list.
 * x makes the sum of both costs least, over the histogram of small sizes.
@@ -100,12 +100,19 @@ def boundary(sizes: dict[int, int], t: tuple[int, int]) -> int:
     return min(range(BOUNDARY + 1), key=cost)
 
 
-def light_keys(s: np.ndarray, x: int, t: tuple[int, int]) -> list[int]:
+#: Roles of a set in a light list: of the list's one size, the smaller of two, the larger.
+ALIKE, SMALLER, LARGER = -1, -3, -2
+
+
+def light_keys(s: np.ndarray, x: int, t: tuple[int, int]) -> list[tuple[int, int]]:
+    """Lists of a small set, and its role in each.  Two sets link exactly when they meet in a list, alike or in
+    different roles."""
     n, out = len(s), []
     for m in partners(n, t):
         if 0 < m <= x:
             head = np.array([min(n, m), max(n, m)], "uint64").tobytes()
-            out += [xxhash.xxh3_64_intdigest(head + s[list(c)].tobytes(), 2) for c in combinations(range(n), need(n, m, t))]
+            role = ALIKE if n == m else SMALLER if n < m else LARGER
+            out += [(xxhash.xxh3_64_intdigest(head + s[list(c)].tobytes(), 2), role) for c in combinations(range(n), need(n, m, t))]
     return out
 
 
@@ -162,10 +169,11 @@ def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, in
                 if len(done) < SEEN:
                     done.add(d)
                 if len(s) <= x and (keys := light_keys(s, x, t)):
-                    keys = np.array(keys, "uint64").view("int64")
+                    roles = np.array([role for _, role in keys])
+                    keys = np.array([key for key, _ in keys], "uint64").view("int64")
                     out[0].append(np.full(len(keys), 1))
                     out[2].append(keys)
-                    out[4].append(np.full(len(keys), -1))
+                    out[4].append(roles)
                     out[1].append(np.full(len(keys), a))
                     out[3].append(np.full(len(keys), len(s)))
                 if t[1] * len(s) > t[0] * x:
@@ -230,9 +238,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = made.where("kind > 0").select("kind", "key", "class", "size", "at").repartition("key")
     # the leader of a list has the fewest rarer shingles
     entry = F.struct("at", "class", "size")
-    lists = lists.withColumn("lead", F.min(entry).over(span)).withColumn("other", F.max("class").over(span)).withColumn("least", F.min("class").over(span))
-    lists = C.materialise(lists.where("other != least").select("kind", "key", "class", "size", "at", F.col("lead.class").alias("lead"), F.col("lead.size").alias("lead_size"), F.col("lead.at").alias("lead_at")), "lists")
+    lists = lists.withColumn("lead", F.min(entry).over(span)).withColumn("top", F.max(entry).over(span)).withColumn("other", F.max("class").over(span)).withColumn("least", F.min("class").over(span))
+    lists = C.materialise(lists.where("other != least").select("kind", "key", "class", "size", "at", F.col("lead.class").alias("lead"), F.col("lead.size").alias("lead_size"), F.col("lead.at").alias("lead_at"), F.col("top.class").alias("top"), F.col("top.size").alias("top_size"), F.col("top.at").alias("top_at")), "lists")
     met = lists.where("class != lead").where(_fits("size", "at", "lead_size", "lead_at", t))
+    # of a light list with two sizes the smaller sets meet the first of the larger ones too
+    met = met.select("class", "lead").unionByName(lists.where(f"top_at = {LARGER} and at = {SMALLER}").select("class", F.col("top").alias("lead")))
     met = met.select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b"), F.col("lead")).groupBy("a", "b").agg(F.min("lead").alias("lead"))
     # the leader is the side that is held
     first = C.materialise(met.select(F.col("lead").alias("a"), F.when(F.col("a") == F.col("lead"), F.col("b")).otherwise(F.col("a")).alias("b")), "pairs")
@@ -240,7 +250,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group = C.materialise(components(links), "groups")
 
     # second pass: what lies outside the largest component of a list
-    own = lists.drop("lead", "lead_size", "lead_at").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = lists.select("kind", "key", "class", "size", "at").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     own = own.where("kind = 2")
     counts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
@@ -273,10 +283,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _fits(n: str, i: str, m: str, j: str, t: tuple[int, int]):
-    """Whether sizes and positions of a common shingle let two sets link; a light key always does."""
+    """Whether sizes and positions of a common shingle let two sets link; in a light list roles decide."""
     p, q = t
     enough = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (p + q) >= p * (F.col(n) + F.col(m))
-    return (F.col(i) < 0) | (enough & (F.least(n, m) * q >= F.greatest(n, m) * p))
+    light = (F.col(i) < 0) & ((F.col(i) == ALIKE) | (F.col(i) != F.col(j)))
+    return light | ((F.col(i) >= 0) & enough & (F.least(n, m) * q >= F.greatest(n, m) * p))
 
 
 ORACLE = """
