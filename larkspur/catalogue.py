@@ -66,10 +66,10 @@ def engine_over(spark: SparkSession, sf_dir: str, path: str | None = None) -> En
     e = Engine(spark, path)
     for name, key in KEYS.items():
         e.attach(name, f"{sf_dir}/{name}.parquet", key)
-    at = lambda n: e.attached[n][1]
-    e.attach("orders_null", at("orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))), "o_orderkey")
-    e.attach("nation_null", at("nation").select(F.nullif("n_regionkey", F.lit(1)).alias("k")))
-    e.attach("region_null", at("region").select(F.nullif("r_regionkey", F.lit(1)).alias("k")))
+    at = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    e.attach("orders_null", lambda: at("orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))), "o_orderkey")
+    e.attach("nation_null", lambda: at("nation").select(F.nullif("n_regionkey", F.lit(1)).alias("k")))
+    e.attach("region_null", lambda: at("region").select(F.nullif("r_regionkey", F.lit(1)).alias("k")))
     return e
 
 

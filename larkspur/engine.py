@@ -51,25 +51,35 @@ class Engine:
             raise Unsupported("spark.sql.ansi.enabled must be true")
         self.spark, self.strict_between = spark, strict_between
         self.store = Store(spark, path) if path else None
-        self.attached: dict[str, tuple[Table, DataFrame]] = {}
+        self.attached: dict[str, tuple] = {}
 
     # --- tables -------------------------------------------------------------------------------------------------------
 
-    def attach(self, name: str, source: DataFrame | str, primary_key: str | None = None) -> None:
-        """Makes a DataFrame, or the Parquet files at a path, readable under a name."""
-        frame = self.spark.read.parquet(source) if isinstance(source, str) else source
-        self.attached[name.lower()] = Table(name, [Column(f.name, kind_of(f.dataType)) for f in frame.schema], primary_key), frame
+    def attach(self, name: str, source: DataFrame | str | Callable[[], DataFrame], primary_key: str | None = None) -> None:
+        """Makes a DataFrame, the Parquet files at a path, or what a function makes, readable under a name.
+
+        Nothing is opened before a statement names the table."""
+        self.attached[name.lower()] = (name, source, primary_key)
+
+    def _opened(self, name: str) -> tuple[Table, DataFrame]:
+        found = self.attached[name.lower()]
+        if len(found) == 3:
+            name, source, key = found
+            frame = self.spark.read.parquet(source) if isinstance(source, str) else source() if callable(source) else source
+            found = Table(name, [Column(f.name, kind_of(f.dataType)) for f in frame.schema], key), frame
+            self.attached[name.lower()] = found
+        return found
 
     def _table(self, name: str) -> Table:
         if name.lower() in self.attached:
-            return self.attached[name.lower()][0]
+            return self._opened(name)[0]
         if self.store is None:
             raise UnknownTable(name)
         return self.store.table(name)
 
     def _frame(self, table: Table) -> DataFrame:
         if table.name.lower() in self.attached:
-            return self.attached[table.name.lower()][1]
+            return self._opened(table.name)[1]
         e = self.store.entry(table.name)
         return self.store.rows(e)
 
