@@ -324,3 +324,44 @@ def test_lowering_agrees_with_plain_values(spark):
             for e, g, w in zip(items, got[row[0]], want, strict=True):
                 same = g == w and isinstance(g, bool) == isinstance(w, bool) or isinstance(g, float) and isinstance(w, float) and (math.isclose(g, w) or g != g and w != w)
                 assert same, (e, at, g, w)
+
+
+def test_a_folder_that_is_no_local_disk(spark, tmp_path, monkeypatch):
+    """Publishing by rename, as on a cluster's file system: whole files, and never over one that is there."""
+    from larkspur.sources import files
+
+    real = files.Folder.__init__
+
+    def remote(self, *a):
+        real(self, *a)
+        self.local = None
+
+    monkeypatch.setattr(files.Folder, "__init__", remote)
+    folder = files.Folder(spark, f"file://{tmp_path}/f")
+    assert folder.publish("_log/1.json", "é") and folder.read("_log/1.json") == "é"
+    assert not folder.publish("_log/1.json", "other") and folder.names("_log") == ["1.json"]
+    db = Engine(spark, f"file://{tmp_path}/db")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY); INSERT INTO t VALUES (1)")
+    assert rows(Engine(spark, f"file://{tmp_path}/db"), "SELECT * FROM t") == [(1,)]
+
+
+def test_bulk_loading(db, spark):
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT NOT NULL, r REAL DEFAULT 2.5); CREATE TABLE u (name TEXT)")
+    assert db.load("t", spark.createDataFrame([(1, "a", 9), (2, "b", 9)], "ID long, name string, extra int")) == 2
+    assert rows(db, "SELECT * FROM t") == [(1, "a", 2.5), (2, "b", 2.5)]
+    for frame, kind in [(spark.createDataFrame([(2, "c")], "id long, name string"), E.NotUnique), (spark.createDataFrame([(3, None)], "id long, name string"), E.NotNull), (spark.createDataFrame([(3, 1.5)], "id long, name double"), E.TypeMismatch)]:
+        with pytest.raises(kind):
+            db.load("t", frame)
+    assert db.load("u", spark.createDataFrame([("x",), ("y",)], "name string")) == 2
+    db.query("INSERT INTO u VALUES ('z')")
+    assert [r[0] for r in rows(db, "SELECT name FROM u")][-1] == "z" and len(rows(db, "SELECT * FROM t")) == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from larkspur.__main__ import main, printed
+
+    assert main(["nonsense"]) == 1
+    assert main(["sql", str(tmp_path / "db"), "CREATE TABLE t (id INTEGER PRIMARY KEY, ok BOOLEAN); INSERT INTO t VALUES (1, TRUE); SELECT * FROM t; EXPLAIN SELECT * FROM t"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["ok", "1 row(s)", "id  ok  ", "--  ----", "1   true", "(1 rows)", "Project id, ok", "  SeqScan t"]
+    assert main(["sql", str(tmp_path / "db"), "SELECT nope FROM t"]) == 1
+    assert printed(["a"], [(None,), (b"xy",)]).splitlines()[2:4] == ["NULL     ", "<2 bytes>"]
