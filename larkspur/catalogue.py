@@ -32,7 +32,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "expr_int_div_mod": ("SELECT o_orderkey, o_orderkey / (o_custkey % 7) AS q, o_orderkey % (o_custkey % 7) AS r FROM orders", "SELECT o_orderkey, o_orderkey // nullif(o_custkey % 7, 0) AS q, o_orderkey % nullif(o_custkey % 7, 0) AS r FROM orders"),
     "expr_neg_div": ("SELECT o_orderkey, -o_orderkey / 7 AS q, -o_orderkey % 7 AS r FROM orders", "SELECT o_orderkey, (0 - o_orderkey) // 7 AS q, (0 - o_orderkey) % 7 AS r FROM orders"),
     "expr_real": ("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS rev FROM lineitem", None),
-    "expr_real_div": ("SELECT s_suppkey, s_acctbal / (s_nationkey - 3) AS x, s_acctbal % 7 AS m FROM supplier", "SELECT s_suppkey, s_acctbal / nullif(s_nationkey - 3, 0) AS x, fmod(s_acctbal, 7) AS m FROM supplier"),
+    "expr_real_div": ("SELECT s_suppkey, s_acctbal / (s_nationkey - 3) AS x, s_acctbal % 7 AS m FROM supplier", "SELECT s_suppkey, s_acctbal / nullif(s_nationkey - 3, 0) AS x, CASE WHEN s_acctbal < 0 THEN -fmod(-s_acctbal, 7) ELSE fmod(s_acctbal, 7) END AS m FROM supplier"),
     "expr_unary": ("SELECT n_nationkey, +n_regionkey * -n_nationkey AS x, NOT n_regionkey = 2 AS b FROM nation", "SELECT n_nationkey, n_regionkey::BIGINT * (0 - n_nationkey) AS x, NOT n_regionkey = 2 AS b FROM nation"),
     "distinct_one": ("SELECT DISTINCT o_orderstatus FROM orders", None),
     "distinct_nulls": ("SELECT DISTINCT o_orderstatus AS s FROM orders_null", "SELECT DISTINCT nullif(o_orderstatus, 'P') AS s FROM orders"),
