@@ -18,6 +18,8 @@ from ..plans.binding import Scope
 from ..sources.store import Store
 from .query import numbered, resolver
 
+#: Values of a column that a filter lists at most.
+KNOWN = 200
 NAMES = {type(None): "NULL", bool: "BOOLEAN", int: "INTEGER", float: "REAL", str: "TEXT", bytes: "BLOB"}
 
 
@@ -107,8 +109,11 @@ def _unique(rows: DataFrame, keys: list[list[str]]) -> None:
             raise NotUnique(", ".join(columns))
 
 
-def _check(before: DataFrame, new: DataFrame, e: dict) -> None:
-    """Constraints of rows to be written beside those of ``before``; every null check in one job."""
+def _check(before: DataFrame, new: DataFrame, e: dict, values: dict[str, set] | None = None) -> None:
+    """Constraints of rows to be written beside those of ``before``; every null check in one job.
+
+    ``values``: what each column of the new rows holds, where that is known and short; the files that hold none of it
+    are then skipped by their statistics."""
     must = [c["name"] for c in e["columns"] if c["not_null"]]
     if must:
         missing = new.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(must))).first()
@@ -118,7 +123,11 @@ def _check(before: DataFrame, new: DataFrame, e: dict) -> None:
     for columns in _unique_keys(e):
         _unique(new, [columns])
         some = new.where(_present(columns)).select(*(F.col(f"`{c}`") for c in columns))
-        if not before.join(some, columns, "left_semi").isEmpty():
+        there = before
+        for c in columns:
+            if values is not None and len(values[c]) <= KNOWN:
+                there = there.where(F.col(f"`{c}`").isin([v for v in values[c] if v is not None]))
+        if not there.join(some, columns, "left_semi").isEmpty():
             raise NotUnique(", ".join(columns))
 
 
@@ -145,7 +154,7 @@ def insert(store: Store, s: S.Insert) -> int:
         rows.append((rowid, store.txid, *row))
     new = store.spark.createDataFrame(rows, store.schema(e)).coalesce(1)
     if _unique_keys(e):
-        _check(store.rows(e), new, e)
+        _check(store.rows(e), new, e, {c["name"]: {r[i + 2] for r in rows} for i, c in enumerate(columns)})
     e["data"] = [*e["data"], store.write(e, new)]
     e["high"] = high
     return len(rows)
