@@ -235,5 +235,18 @@ def near_duplicates(df: DataFrame, least: float = SIMILAR, passes: int = PASSES,
     return plain.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+#: Brute force over all pairs; equal where the passes find every link.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id, coalesce(l.m, e.vec_id) >= e.vec_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN least l USING (vec_id)
+"""
+
+
 def op7_sorted_projections(spark, sf_dir):
     return near_duplicates(C.table(spark, sf_dir, "embeddings"))

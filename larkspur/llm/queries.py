@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_inner_products": topk.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE}
+    return {"op4_top_inner_products": topk.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE, "op7_sorted_projections": near_vectors.ORACLE}
