@@ -29,6 +29,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -47,6 +48,8 @@ BOUNDARY, COMPARISON = 12, 3.0
 SEEN = 500_000
 #: Partners of one set that one task compares.
 PARTNERS = 256
+#: Bits of the filter of wanted ids (2 to this power); 8 MB, however many ids there are.
+FILTER_BITS = 26
 #: Ratio between the bounds of a size class of the second pass.
 SIZE_STEP = 1.05
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -191,17 +194,46 @@ def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, in
     return rows.mapInArrow(run, "kind byte, class long, key long, size int, at int, doc_id long")
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among ``ids``: a bitmap of fixed size goes to the tasks, so that texts nobody asked for
+    aren't shuffled.  A full bitmap lets all rows pass; the join that follows is exact."""
+    parts, mask = 64, (1 << FILTER_BITS) - 1
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(mask))
+    cells = (1 << FILTER_BITS) // parts
+
+    def gather(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = C.column(b, "place").to_numpy()
+            for part in np.unique(at // cells):
+                bits = found.setdefault(int(part), np.zeros(cells, bool))
+                bits[at[at // cells == part] % cells] = True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["part", "bits"])
+
+    dealt = ids.select(place.alias("place")).distinct().repartition(F.floor(F.col("place") / cells))
+    got = {r.part: r.bits for r in dealt.mapInArrow(gather, "part int, bits binary").collect()}  # 2 ** FILTER_BITS / 8 bytes
+    whole = b"".join(bytes(got.get(k, b"\0" * (cells // 8))) for k in range(parts))
+    sent = rows.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def wanted(at: pd.Series) -> pd.Series:  # sees the places alone; texts stay where they are
+        bits, at = np.frombuffer(sent.value, "uint8"), at.to_numpy()
+        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool))
+
+    return rows.where(wanted(place)).select("doc_id", "text")
+
+
 def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """Of pairs of classes (a, b) those that link, by whole texts of one document of each class."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    ids = C.materialise(wanted.join(classes, "class").select("class", F.col("rep").alias("doc_id")), "compared")
-    texts = rows.join(ids, "doc_id").select("class", "text")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
-    left = salts.join(texts, F.col("a") == F.col("class")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("b"), "text")
-    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
-    right = right.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("side"), "b", "text")
-    dealt = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "b")
+    left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("class"))
+    right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), F.col("b").alias("class"))
+    places = left.unionByName(right).join(classes.groupBy("class").agg(F.min("rep").alias("doc_id")), "class")
+    places = C.materialise(places.select("doc_id", "a", "salt", "side", F.col("class").alias("b")), "places")
+    # texts move once to their places' rows and once to their places, at every size alike
+    dealt = only(rows, places).join(places.hint("merge"), "doc_id").select("a", "salt", "side", "b", "text")
+    dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "b")
 
     def run(batches):
         held, key = None, None
@@ -268,17 +300,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second = C.materialise(cross.join(done, ["a", "b"], "left_anti"), "pairs")
     more = C.materialise(compare(second, classes, rows, n, t), "links")
 
-    # least doc_id of each component: components of representatives
-    rep = classes.groupBy("class").agg(F.min("rep").alias("rep"))
-    every = links.unionByName(more)
-    every = every.join(rep.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b")
-    # rows that share an id are one node: an id links the representatives of its classes
-    shared = real.groupBy("doc_id").agg(F.min("class").alias("l"), F.max("class").alias("h")).where("l != h").select("doc_id")
-    shared = real.join(shared, "doc_id").join(classes, ["class", "half", "size"]).select(F.col("doc_id").alias("ra"), F.col("rep").alias("rb"))
-    final = components(every.select("ra", "rb").unionByName(shared), "ra", "rb")
-    mine = table.join(classes, ["class", "half", "size"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    mine = mine.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    whose = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    # rows that share an id are one node: their classes are linked
+    shared = real.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b")
+    shared = real.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
+    star = group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = components(star.unionByName(more).unionByName(shared)).withColumnRenamed("node", "class")
+    # the least id of each component, then of each class
+    named = C.materialise(classes.join(final, "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(least, "component").select("class", "half", "size", "least")
+    mine = table.join(named, ["class", "half", "size"], "left")
+    whose = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return mine.select("doc_id", F.col("size").cast("long").alias("n_shingles"), whose.alias("component_id"))
 
 
