@@ -50,6 +50,9 @@ SEEN = 500_000
 PARTNERS = 256
 #: Bits of the filter of wanted ids (2 to this power); 8 MB, however many ids there are.
 FILTER_BITS = 26
+#: A list that may hold more entries than this, and than twice a bucket's mean (by the sketch, which never counts too
+#: few), is aggregated map-side instead of gathered in one task.
+HOT_ROWS = 20_000
 #: Ratio between the bounds of a size class of the second pass.
 SIZE_STEP = 1.05
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -107,15 +110,16 @@ def boundary(sizes: dict[int, int], t: tuple[int, int]) -> int:
 ALIKE, SMALLER, LARGER = -1, -3, -2
 
 
-def light_keys(s: np.ndarray, x: int, t: tuple[int, int]) -> list[tuple[int, int]]:
-    """Lists of a small set, and its role in each.  Two sets link exactly when they meet in a list, alike or in
-    different roles."""
+def light_keys(s: np.ndarray, x: int, t: tuple[int, int], often: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Lists of a small set, its role in each, and how many sets can be in it at most (a list's sets hold all its
+    shingles).  Two sets link exactly when they meet in a list, alike or in different roles."""
+    often = np.zeros(len(s), int) if often is None else often
     n, out = len(s), []
     for m in partners(n, t):
         if 0 < m <= x:
             head = np.array([min(n, m), max(n, m)], "uint64").tobytes()
             role = ALIKE if n == m else SMALLER if n < m else LARGER
-            out += [(xxhash.xxh3_64_intdigest(head + s[list(c)].tobytes(), 2), role) for c in combinations(range(n), need(n, m, t))]
+            out += [(xxhash.xxh3_64_intdigest(head + s[list(c)].tobytes(), 2), role, int(often[list(c)].min())) for c in combinations(range(n), need(n, m, t))]
     return out
 
 
@@ -153,14 +157,16 @@ def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
 
 def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, int]) -> DataFrame:
     """One row of kind 0 for each document (key: the digest's other half; size) and its class's postings (kind 1 light,
-    2 heavy; key: the list, position).  A task posts a class once."""
+    2 heavy, negative where the list may be hot; key: the list, position).  A task posts a class once."""
     sent = rows.sparkSession.sparkContext.broadcast(np.minimum(seen, (1 << 31) - 1).astype("int32"))  # 4 * 2 ** SKETCH_BITS bytes
 
+    limit = max(HOT_ROWS, 2 * float(seen.mean()))
+
     def run(batches):
         often, done = sent.value, set()
         for b in C.slices(batches):
             ids = C.column(b, "doc_id").to_pylist()
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             docs = np.zeros((5, len(ids)), "int64")
             for i, text in enumerate(C.texts_of(b)):
                 s = shingles(text, n)
@@ -171,22 +177,19 @@ def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, in
                     continue
                 if len(done) < SEEN:
                     done.add(d)
-                if len(s) <= x and (keys := light_keys(s, x, t)):
-                    roles = np.array([role for _, role in keys])
-                    keys = np.array([key for key, _ in keys], "uint64").view("int64")
-                    out[0].append(np.full(len(keys), 1))
-                    out[2].append(keys)
-                    out[4].append(roles)
-                    out[1].append(np.full(len(keys), a))
-                    out[3].append(np.full(len(keys), len(s)))
+                count = often[(s >> np.uint64(64 - SKETCH_BITS)).astype("int64")]
+                made = []  # (kind, key, at, most) of each list
+                if len(s) <= x and (keys := light_keys(s, x, t, count)):
+                    made.append((1, np.array([k for k, _, _ in keys], "uint64"), np.array([r for _, r, _ in keys]), np.array([m for _, _, m in keys])))
                 if t[1] * len(s) > t[0] * x:
-                    first = posted(len(s), t)
-                    order = np.lexsort((s, often[(s >> np.uint64(64 - SKETCH_BITS)).astype("int64")]))[:first]
-                    out[0].append(np.full(first, 2))
-                    out[2].append(s[order].view("int64"))
-                    out[4].append(np.arange(first))
-                    out[1].append(np.full(first, a))
-                    out[3].append(np.full(first, len(s)))
+                    order = np.lexsort((s, count))[: posted(len(s), t)]
+                    made.append((2, s[order], np.arange(len(order)), count[order]))
+                for kind, key, at, most in made:
+                    out[0].append(np.where(most > limit, -kind, kind))
+                    out[1].append(np.full(len(key), a))
+                    out[2].append(key.view("int64"))
+                    out[3].append(np.full(len(key), len(s)))
+                    out[4].append(at)
             cols = [np.concatenate([docs[k], *out[k]]) for k in range(5)]
             who = pa.array(ids + [None] * (len(cols[0]) - len(ids)), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype("int8")), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype("int32")), pa.array(cols[4].astype("int32")), who], names=["kind", "class", "key", "size", "at", "doc_id"])
@@ -261,17 +264,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen, sizes = sketch(rows, n)
     x = boundary(sizes, t)
     made = postings(rows, seen, x, n, t)
-    # one pass makes both kinds of rows; lists keep only keys that two classes have
-    span = Window.partitionBy("key")
-    made = C.materialise(made, "postings")
+    made = C.materialise(made, "postings")  # one pass makes all kinds of rows
     table = made.where("kind = 0").select("doc_id", "class", F.col("key").alias("half"), "size")
     real = table.where("size > 0 and doc_id is not null")
     classes = C.materialise(real.groupBy("class", "half", "size").agg(F.min("doc_id").alias("rep")), "classes")
-    lists = made.where("kind > 0").select("kind", "key", "class", "size", "at").repartition("key")
-    # the leader of a list has the fewest rarer shingles
-    entry = F.struct("at", "class", "size")
-    lists = lists.withColumn("lead", F.min(entry).over(span)).withColumn("top", F.max(entry).over(span)).withColumn("other", F.max("class").over(span)).withColumn("least", F.min("class").over(span))
-    lists = C.materialise(lists.where("other != least").select("kind", "key", "class", "size", "at", F.col("lead.class").alias("lead"), F.col("lead.size").alias("lead_size"), F.col("lead.at").alias("lead_at"), F.col("top.class").alias("top"), F.col("top.size").alias("top_size"), F.col("top.at").alias("top_at")), "lists")
+    # lists keep only keys that two classes have; the leader of a list has the fewest rarer shingles
+    entry, span = F.struct("at", "class", "size"), Window.partitionBy("key")
+    whole = {"lead": F.min(entry), "top": F.max(entry), "least": F.min("class"), "most": F.max("class")}
+    cool = made.where("kind > 0").select("kind", "key", "class", "size", "at").repartition("key")
+    for name, value in whole.items():
+        cool = cool.withColumn(name, value.over(span))
+    warm = made.where("kind < 0").select(F.abs("kind").cast("byte").alias("kind"), "key", "class", "size", "at").distinct()
+    warm = C.materialise(warm, "warm")
+    ends = warm.groupBy("key").agg(*(value.alias(name) for name, value in whole.items())).where("least != most")
+    lists = cool.where("least != most").unionByName(warm.join(ends, "key"))
+    lists = lists.select("kind", "key", "class", "size", "at", *(F.col(f"{who}.{what}").alias(name) for who in ("lead", "top") for what, name in (("class", who), ("size", f"{who}_size"), ("at", f"{who}_at"))))
+    lists = C.materialise(lists, "lists")
     met = lists.where("class != lead").where(_fits("size", "at", "lead_size", "lead_at", t))
     # of a light list with two sizes the smaller sets meet the first of the larger ones too
     met = met.select("class", "lead").unionByName(lists.where(f"top_at = {LARGER} and at = {SMALLER}").select("class", F.col("top").alias("lead")))

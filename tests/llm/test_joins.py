@@ -114,6 +114,14 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(map(tuple, ngram_join.similar_groups(docs).collect()), key=str) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 30])
+def test_hot_lists_give_the_same_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 7)
+    rows = [(i, t) for i, t in enumerate(near_copies(random.Random(hot), 200))]
+    assert sorted(map(tuple, ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute_groups(rows)
+
+
 def test_no_rows_and_only_empty_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert ngram_join.similar_groups(docs.limit(0)).collect() == []
@@ -133,7 +141,7 @@ def test_light_keys_meet_exactly_when_sets_link():
         common = [np.uint64(r.randrange(2**60)) for _ in range(r.randrange(1, 10))]
         a, b = (np.unique(np.array(common + [r.randrange(2**60) for _ in range(r.randrange(3))], "uint64")) for _ in range(2))
         both = len(np.intersect1d(a, b))
-        mine, theirs = (dict(ngram_join.light_keys(x, 12, t)) for x in (a, b))
+        mine, theirs = ({k: role for k, role, _ in ngram_join.light_keys(x, 12, t)} for x in (a, b))
         meet = any(mine[k] != theirs[k] or mine[k] == ngram_join.ALIKE for k in mine.keys() & theirs.keys())
         assert meet == (5 * both >= 4 * (len(a) + len(b) - both))
 
