@@ -27,7 +27,7 @@ from .graph import components
 
 SIMILAR, PASSES, WINDOW, BITS = 0.9, 16, 24, 62
 #: Rows of a block, and members that one task compares with their leader.
-BLOCK_ROWS, PARTNERS = 1024, 4096
+BLOCK_ROWS, PARTNERS = 1024, 256
 SEED = 17
 
 
