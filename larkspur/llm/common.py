@@ -6,6 +6,8 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 SLICE_ROWS = 512
 #: Characters of text that one Python step looks at, however many rows they are.
 SLICE_CHARS = 4_000_000
+#: Bits of a filter of ids (2 to this power): 8 MB, however many ids there are.
+FILTER_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +99,37 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """Tells rows whose id may be among ``ids`` (one column) from those whose isn't, so that only few rows need a join.
+
+    A bitmap of fixed size (2 ** FILTER_BITS bits) is made by tasks and goes to all; a full one lets every row pass, so
+    a join must follow that is exact.  Only ids' places reach Python; the other columns stay where they are."""
+    parts, mask = 64, (1 << FILTER_BITS) - 1
+    cells = (1 << FILTER_BITS) // parts
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = column(b, "place").to_numpy()
+            for part in np.unique(at // cells):
+                bits = found.setdefault(int(part), np.zeros(cells, bool))
+                bits[at[at // cells == part] % cells] = True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["part", "bits"])
+
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(mask))
+    dealt = ids.select(place(F.col(ids.columns[0])).alias("place")).distinct().repartition(F.floor(F.col("place") / cells))
+    got = {r.part: bytes(r.bits) for r in dealt.mapInArrow(gather, "part int, bits binary").collect()}  # 2 ** FILTER_BITS / 8 bytes
+    sent = ids.sparkSession.sparkContext.broadcast(b"".join(got.get(k, b"\0" * (cells // 8)) for k in range(parts)))
+
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        bits, at = np.frombuffer(sent.value, "uint8"), at.to_numpy()
+        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool))
+
+    return lambda c: hit(place(c))
+
+
 def row_key(*cols: Column) -> Column:
     """A 64-bit hash that orders rows as if by chance, the same on every run."""
     return F.xxhash64(*cols)

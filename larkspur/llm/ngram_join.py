@@ -13,8 +13,9 @@ copies cost nothing beyond their own text.  Two classes of sizes n and m link wh
 Lists are never paired with themselves.  In each list the entry with the fewest rarer shingles leads; every other entry
 is compared with the leader alone, and verified links give components.  In a second pass entries outside a list's
 largest component are compared with the entries of other components that sizes and positions allow (a pair whose first
-common shingle stands at positions p and q shares at most min(n - p, m - q)): the pairs that the first pass could not
-settle.  So nothing is capped, and a list of thousands of near copies makes thousands of comparisons, not millions.
+common shingle stands at positions p and q shares at most min(n - p, m - q)) and that they meet in EXTRA + 1 lists, or
+in all that they need: the pairs that the first pass could not settle.  So nothing is capped, and a list of thousands of
+near copies makes thousands of comparisons, not millions.
 
 Comparison reads whole texts again: texts of a pair's right side go to the left side's task, dealt anew by a salt where
 one side has many partners.  The set of the left side is held, the others stream by.
@@ -29,7 +30,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -48,11 +48,12 @@ BOUNDARY, COMPARISON = 12, 3.0
 SEEN = 500_000
 #: Partners of one set that one task compares.
 PARTNERS = 256
-#: Bits of the filter of wanted ids (2 to this power); 8 MB, however many ids there are.
-FILTER_BITS = 26
 #: A list that may hold more entries than this, and than twice a bucket's mean (by the sketch, which never counts too
 #: few), is aggregated map-side instead of gathered in one task.
 HOT_ROWS = 20_000
+#: Shingles that a set posts beyond its first possible common one: pairs of the second pass must meet in one list more
+#: than that, so a single common passage line doesn't bring them to a comparison.
+EXTRA = 2
 #: Ratio between the bounds of a size class of the second pass.
 SIZE_STEP = 1.05
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -93,7 +94,8 @@ def partners(n: int, t: tuple[int, int]) -> range:
 
 
 def posted(n: int, t: tuple[int, int]) -> int:
-    return n - -(-t[0] * n // t[1]) + 1
+    """Postings of a set: the first EXTRA + 1 shingles that it has in common with a linked set are among them."""
+    return min(n, n - -(-t[0] * n // t[1]) + 1 + EXTRA)
 
 
 def boundary(sizes: dict[int, int], t: tuple[int, int]) -> int:
@@ -197,36 +199,6 @@ def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, in
     return rows.mapInArrow(run, "kind byte, class long, key long, size int, at int, doc_id long")
 
 
-def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be among ``ids``: a bitmap of fixed size goes to the tasks, so that texts nobody asked for
-    aren't shuffled.  A full bitmap lets all rows pass; the join that follows is exact."""
-    parts, mask = 64, (1 << FILTER_BITS) - 1
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit(mask))
-    cells = (1 << FILTER_BITS) // parts
-
-    def gather(batches):
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = C.column(b, "place").to_numpy()
-            for part in np.unique(at // cells):
-                bits = found.setdefault(int(part), np.zeros(cells, bool))
-                bits[at[at // cells == part] % cells] = True
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["part", "bits"])
-
-    dealt = ids.select(place.alias("place")).distinct().repartition(F.floor(F.col("place") / cells))
-    got = {r.part: r.bits for r in dealt.mapInArrow(gather, "part int, bits binary").collect()}  # 2 ** FILTER_BITS / 8 bytes
-    whole = b"".join(bytes(got.get(k, b"\0" * (cells // 8))) for k in range(parts))
-    sent = rows.sparkSession.sparkContext.broadcast(whole)
-
-    @F.pandas_udf("boolean")
-    def wanted(at: pd.Series) -> pd.Series:  # sees the places alone; texts stay where they are
-        bits, at = np.frombuffer(sent.value, "uint8"), at.to_numpy()
-        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool))
-
-    return rows.where(wanted(place)).select("doc_id", "text")
-
-
 def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """Of pairs of classes (a, b) those that link, by whole texts of one document of each class."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
@@ -235,7 +207,8 @@ def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, t: tu
     places = left.unionByName(right).join(classes.groupBy("class").agg(F.min("rep").alias("doc_id")), "class")
     places = C.materialise(places.select("doc_id", "a", "salt", "side", F.col("class").alias("b")), "places")
     # texts move once to their places' rows and once to their places, at every size alike
-    dealt = only(rows, places).join(places.hint("merge"), "doc_id").select("a", "salt", "side", "b", "text")
+    wanted = C.may_be_among(places.select("doc_id"))
+    dealt = rows.where(wanted(F.col("doc_id"))).join(places.hint("merge"), "doc_id").select("a", "salt", "side", "b", "text")
     dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "b")
 
     def run(batches):
@@ -290,20 +263,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group = C.materialise(components(links), "groups")
 
     # second pass: what lies outside the largest component of a list
-    own = lists.select("kind", "key", "class", "size", "at").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    own = lists.select("kind", "key", "class", "size", "at").join(group.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     own = own.where("kind = 2")
     counts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
-    open_lists = C.materialise(own.join(main, "key"), "open")
+    open_lists = C.materialise(own.join(main.hint("merge"), "key"), "open")
     p, q = t
-    top = F.least(F.floor(F.col("size") * q / p), F.floor((F.col("size") - F.col("at")) * (p + q) / p) - F.col("size"))
+    top = F.least(F.floor(F.col("size") * q / p), F.floor((F.col("size") - F.col("at") + EXTRA) * (p + q) / p) - F.col("size"))
     low = F.ceil(F.col("size") * p / q)
     step = lambda c: F.floor(F.log(c.cast("double")) / math.log(SIZE_STEP)).cast("int")
     probe = open_lists.where("component != main").where(top >= low)
-    probe = probe.select("key", F.explode(F.sequence(step(low), step(top))).alias("sizes"), F.col("class").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("component").alias("ca"))
+    probe = probe.select("key", F.explode(F.sequence(step(low), step(top))).alias("sizes"), F.col("class").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("component").alias("ca"), "main")
     build = open_lists.select("key", step(F.col("size")).alias("sizes"), F.col("class").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), F.col("component").alias("cb"))
-    cross = probe.join(build, ["key", "sizes"]).where("ca != cb").where(_fits("n", "i", "m", "j", t))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a list gives a pair once: from the side that lies outside the largest component, of two such sides from the smaller
+    cross = probe.join(build.hint("merge"), ["key", "sizes"]).where("ca != cb and (cb = main or a < b)").where(_fits("n", "i", "m", "j", t, EXTRA))
+    cross = cross.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("met"), F.first(F.col("n") + F.col("m")).alias("sizes"))
+    cross = cross.where(F.col("met") >= F.least(F.lit(EXTRA + 1), F.ceil(F.col("sizes") * p / (p + q)))).select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = C.materialise(cross.join(done, ["a", "b"], "left_anti"), "pairs")
     more = C.materialise(compare(second, classes, rows, n, t), "links")
@@ -322,10 +297,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return mine.select("doc_id", F.col("size").cast("long").alias("n_shingles"), whose.alias("component_id"))
 
 
-def _fits(n: str, i: str, m: str, j: str, t: tuple[int, int]):
-    """Whether sizes and positions of a common shingle let two sets link; in a light list roles decide."""
+def _fits(n: str, i: str, m: str, j: str, t: tuple[int, int], before: int = 0):
+    """Whether sizes and positions of a common shingle let two sets link that have at most ``before`` common shingles
+    ahead of it; in a light list roles decide."""
     p, q = t
-    enough = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (p + q) >= p * (F.col(n) + F.col(m))
+    enough = (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) + before) * (p + q) >= p * (F.col(n) + F.col(m))
     light = (F.col(i) < 0) & ((F.col(i) == ALIKE) | (F.col(i) != F.col(j)))
     return light | ((F.col(i) >= 0) & enough & (F.least(n, m) * q >= F.greatest(n, m) * p))
 
