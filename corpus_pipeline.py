@@ -17,13 +17,15 @@ from larkspur.llm.token_counts import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic; it learns from the labels outside the held-out fold."""
     model = toxicity.learn(docs, C.table(spark, sf_dir, "labels"), lambda i: ~C.held_out(i))
-    return toxicity.score(docs, model).where("_predicted = 0").select(docs.columns)
+    out = C.fresh(docs.columns, "_score", "_predicted")
+    return toxicity.score(docs, model, out=out).where(F.col(out[1]) == 0).select(docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie near a centroid of a language; lang stays as it came."""
     model = language_id.learn(docs, language_id.not_held_out)
-    return language_id.identify(docs, model).where("not _rejected").select(docs.columns)
+    out = C.fresh(docs.columns, "_lang", "_score", "_rejected")
+    return language_id.identify(docs, model, out=out).where(~F.col(out[2])).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     repeated = C.materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
+    (name,) = C.fresh(docs.columns, "_number")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    some = kept.join(repeated, "doc_id", "left_semi").withColumn("_number", number).where("_number = 1").select(docs.columns)
+    some = kept.join(repeated, "doc_id", "left_semi").withColumn(name, number).where(F.col(name) == 1).select(docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(some)
 
 

@@ -103,6 +103,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@C.shipped
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>; null text gives no ids."""
 
@@ -120,6 +121,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return C.by_slice(_rows(docs, id_col, text_col), step, "doc_id long, ids array<int>")
 
 
+@C.shipped
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``ids_col`` becomes text; null ids give null, ids that are in no rank file an error."""
 
@@ -136,6 +138,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     return encoded.mapInArrow(step, T.StructType([T.StructField(f.name, T.StringType()) if f.name == ids_col else f for f in encoded.schema]))
 
 
+@C.shipped
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids of each text and what they decode to; one pass."""
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once a session, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_larkspur_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur_code.zip"  # the driver serves it to executors
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, str(f.relative_to(top.parent)))
+    context.addPyFile(str(archive))
+    context._larkspur_shipped = True
+
+
+def shipped(operator: Callable) -> Callable:
+    """An operator that runs Python on executors: the code goes there first."""
+
+    @functools.wraps(operator)
+    def run(*args, **named):
+        ship(next(a for a in (*args, *named.values()) if isinstance(a, DataFrame)).sparkSession)
+        return operator(*args, **named)
+
+    return run
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
@@ -99,6 +128,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+@shipped
 def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
     """Tells rows whose id may be among ``ids`` (one column) from those whose isn't, so that only few rows need a join.
 
@@ -130,6 +160,16 @@ def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
     return lambda c: hit(place(c))
 
 
+def fresh(columns: Iterable[str], *names: str) -> tuple[str, ...]:
+    """``names``, with underscores before those that a table has already."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return tuple(out)
+
+
 def row_key(*cols: Column) -> Column:
     """A 64-bit hash that orders rows as if by chance, the same on every run."""
     return F.xxhash64(*cols)

@@ -126,6 +126,7 @@ def fit(tf: list[tuple[np.ndarray, np.ndarray]], langs: list[str], how: Fit = Fi
     return Model(idf, np.array(centroids, "float32").reshape(len(names), how.dims), names, np.array(floors))
 
 
+@C.shipped
 def learn(docs: DataFrame, use, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits to rows with a text, a language and an id for which ``use`` (a function of its column) holds."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -158,8 +159,10 @@ def learn(docs: DataFrame, use, how: Fit = Fit(), id_col: str = "doc_id", text_c
     return fit([(np.frombuffer(r.place, "<u2"), np.frombuffer(r.n, "<u2")) for r in found], [r.lang for r in found], how)
 
 
-def identify(docs: DataFrame, model: Model, how: Fit = Fit(), text_col: str = "text") -> DataFrame:
-    """All rows with _lang, _score and _rejected beside their own columns; one pass, no shuffle."""
+@C.shipped
+def identify(docs: DataFrame, model: Model, how: Fit = Fit(), text_col: str = "text", out: tuple[str, str, str] = ("_lang", "_score", "_rejected")) -> DataFrame:
+    """All rows with language, cosine and whether it is rejected, named by ``out``, beside their own columns; one pass,
+    no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # clusters / least_share centroids at most
     names = docs.columns
     at = names.index(text_col)
@@ -169,11 +172,11 @@ def identify(docs: DataFrame, model: Model, how: Fit = Fit(), text_col: str = "t
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             lang, score, bad = m.predict(batch.column(at).to_pylist(), how.dims)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=[*names, "_lang", "_score", "_rejected"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=[*names, *out])
 
         return one
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])
     return C.by_slice(docs, step, schema, text_col)
 
 

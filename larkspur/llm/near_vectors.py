@@ -219,6 +219,7 @@ def count_links(rows: DataFrame, groups: DataFrame, dims: int, least: float) ->
     return once.unionByName(rest).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
 
 
+@C.shipped
 def near_duplicates(df: DataFrame, least: float = SIMILAR, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
     every = C.materialise(vectors(df, id_col, vector_col), "vectors")

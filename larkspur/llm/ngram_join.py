@@ -231,6 +231,7 @@ def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, t: tu
     return dealt.mapInArrow(run, "a long, b long")
 
 
+@C.shipped
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, t: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

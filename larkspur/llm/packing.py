@@ -43,6 +43,7 @@ CHUNK = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@C.shipped
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32.  One pass, no shuffle."""
 
@@ -208,6 +209,7 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan | Non
     return best
 
 
+@C.shipped
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length from 1 to ``capacity``; ``pieces`` is read three times."""
     spark = pieces.sparkSession

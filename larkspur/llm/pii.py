@@ -402,6 +402,7 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+@C.shipped
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of each kind, base_sha256, spans; one pass, no shuffle.  Counts are of all spans."""
     sent = docs.sparkSession.sparkContext.broadcast(trained())
@@ -423,6 +424,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return C.by_slice(rows, step, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+@C.shipped
 def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """Every span becomes its kind in brackets; overlapping ones become one, of the first.  ``count_col`` gets the new
     number of characters where the text changed.  Null text stays null."""

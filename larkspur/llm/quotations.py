@@ -98,6 +98,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     return C.by_slice(messages, step, "conv_id long, turn long, own string, offers array<long>, quotes array<struct<level:int,hash:long>>")
 
 
+@C.shipped
 def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conversation_id, position, conv_id, turn, reply_conv, reply_turn, n_quotes, n_linked, max_level, text of each message."""
     messages = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))

@@ -172,6 +172,7 @@ def encoder(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Encoder:
     return Encoder(path, chunk, overlap)
 
 
+@C.shipped
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row; one pass, no shuffle."""
 

@@ -149,6 +149,7 @@ def _matrix(rows: list[tuple], dims: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array([r[0] for r in rows], "int64"), unpack([r[1] for r in rows], dims), np.array([r[2] for r in rows], "float64")
 
 
+@C.shipped
 def search(df: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for queries whose id is divisible by ``every`` against all other rows."""
     spark = df.sparkSession

@@ -146,6 +146,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Fit = Fit()) -> Machine
     return model
 
 
+@C.shipped
 def learn(docs: DataFrame, labels: DataFrame, use: Column, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fits to the labelled documents for which ``use`` (over the id) holds.
 
@@ -186,8 +187,9 @@ def use_on(use, name: str) -> Column:
     return use(F.col(name)) if callable(use) else use
 
 
-def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with _score and _predicted beside their own columns; one pass, no shuffle."""
+@C.shipped
+def score(docs: DataFrame, model: Machine, text_col: str = "text", out: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
+    """All rows of ``docs`` with a score and a prediction, named by ``out``, beside their own columns; one pass, no shuffle."""
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model)  # how.terms rows at most
@@ -200,11 +202,11 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = m.scores([hasher.buckets(t) for t in batch.column(at).to_pylist()])
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype("int32"))], names=[*names, "_score", "_predicted"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype("int32"))], names=[*names, *out])
 
         return one
 
-    return C.by_slice(docs, step, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())]), text_col)
+    return C.by_slice(docs, step, T.StructType([*docs.schema.fields, T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())]), text_col)
 
 
 def op2_factorization_toxicity(spark, sf_dir):

@@ -51,6 +51,15 @@ def test_stages(spark, corpus):
         assert stage(spark, docs.limit(0), folder).collect() == []
 
 
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS _score", "2 AS _predicted", "'x' AS _lang", "true AS _rejected", "3 AS _number", "4 AS component_id", "5 AS class")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns[5:] == ["_score", "_predicted", "_lang", "_rejected", "_number", "component_id", "class"]
+        assert docs.select("_score", "_predicted", "_lang", "_rejected", "_number").distinct().collect() == [(1, 2, "x", True, 3)]
+
+
 def test_run_equals_the_stages_in_turn(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
