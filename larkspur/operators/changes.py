@@ -109,11 +109,8 @@ def _unique(rows: DataFrame, keys: list[list[str]]) -> None:
             raise NotUnique(", ".join(columns))
 
 
-def _check(before: DataFrame, new: DataFrame, e: dict, values: dict[str, set] | None = None) -> None:
-    """Constraints of rows to be written beside those of ``before``; every null check in one job.
-
-    ``values``: what each column of the new rows holds, where that is known and short; the files that hold none of it
-    are then skipped by their statistics."""
+def _check(before: DataFrame, new: DataFrame, e: dict) -> None:
+    """Constraints of rows to be written beside those of ``before``; every null check in one job."""
     must = [c["name"] for c in e["columns"] if c["not_null"]]
     if must:
         missing = new.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(must))).first()
@@ -123,11 +120,31 @@ def _check(before: DataFrame, new: DataFrame, e: dict, values: dict[str, set] |
     for columns in _unique_keys(e):
         _unique(new, [columns])
         some = new.where(_present(columns)).select(*(F.col(f"`{c}`") for c in columns))
-        there = before
-        for c in columns:
-            if values is not None and len(values[c]) <= KNOWN:
-                there = there.where(F.col(f"`{c}`").isin([v for v in values[c] if v is not None]))
-        if not there.join(some, columns, "left_semi").isEmpty():
+        if not before.join(some, columns, "left_semi").isEmpty():
+            raise NotUnique(", ".join(columns))
+
+
+def _check_values(store: Store, e: dict, rows: list[tuple]) -> None:
+    """Unique keys of rows that a statement spells out.  Whole-number primary keys above the high-water mark are new;
+    of other keys a short list is a filter, so files that hold none of it are skipped by their statistics."""
+    names = [c["name"] for c in e["columns"]]
+    for columns in _unique_keys(e):
+        at = [names.index(c) for c in columns]
+        keys = [k for r in rows if None not in (k := tuple(r[i] for i in at))]
+        if len(set(keys)) < len(keys):
+            raise NotUnique(", ".join(columns))
+        first = e["columns"][at[0]]
+        if not keys or len(at) == 1 and first["primary"] and first["kind"] == "INTEGER" and min(keys)[0] > e["high"]:
+            continue
+        there = store.rows(e)
+        if len(keys) <= KNOWN:
+            for i, c in enumerate(columns):
+                there = there.where(F.col(f"`{c}`").isin([k[i] for k in keys]))
+        if len(at) > 1 or len(keys) > KNOWN:
+            kinds = T.StructType([f for f in store.schema(e).fields if f.name in columns])
+            some = store.spark.createDataFrame([tuple(k[columns.index(f.name)] for f in kinds) for k in keys], kinds)
+            there = there.join(some, columns, "left_semi")
+        if not there.isEmpty():
             raise NotUnique(", ".join(columns))
 
 
@@ -152,9 +169,8 @@ def insert(store: Store, s: S.Insert) -> int:
             if c["not_null"] and v is None:
                 raise NotNull(c["name"])
         rows.append((rowid, store.txid, *row))
+    _check_values(store, e, [r[2:] for r in rows])
     new = store.spark.createDataFrame(rows, store.schema(e)).coalesce(1)
-    if _unique_keys(e):
-        _check(store.rows(e), new, e, {c["name"]: {r[i + 2] for r in rows} for i, c in enumerate(columns)})
     e["data"] = [*e["data"], store.write(e, new)]
     e["high"] = high
     return len(rows)
