@@ -34,7 +34,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of rows that share an id, one stays: the first by text.  Rows without an id stay."""
     groups = C.materialise(ngram_join.similar_groups(docs), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = C.materialise(gone, "gone")
+    may_go = C.may_be_among(gone)
+    # most rows surely stay and need no shuffle
+    doubtful = docs.where(may_go(F.col("doc_id"))).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.where(~may_go(F.col("doc_id"))).unionByName(doubtful)
     repeated = C.materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
