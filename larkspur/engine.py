@@ -168,7 +168,7 @@ class Engine:
             lines = [f"Insert {self._table(s.table).name} ({len(s.rows)} rows)"]
         elif isinstance(s, S.Update | S.Delete):
             table = self._table(s.table)
-            scope = changes._scope(self.store, s.table)
+            scope = changes.scope_of(self.store, s.table)
             where = scope.bind(s.where) if s.where is not None else None
             head = f"Delete {table.name}"
             if isinstance(s, S.Update):

@@ -75,7 +75,7 @@ def _default(c: dict):
 
 def create_index(store: Store, s: S.CreateIndex) -> int:
     e = store.entry(s.table)
-    scope = _scope(store, s.table)
+    scope = scope_of(store, s.table)
     columns = [e["columns"][scope.resolve(S.Name(None, c))]["name"] for c in s.columns]
     if any(i["name"].lower() == s.name.lower() for i in e["indexes"]):
         raise IndexExists(s.name)
@@ -85,7 +85,7 @@ def create_index(store: Store, s: S.CreateIndex) -> int:
     return store.rows(e).count()
 
 
-def _scope(store: Store, table: str) -> Scope:
+def scope_of(store: Store, table: str) -> Scope:
     scope = Scope()
     scope.add(table, store.table(table))
     return scope
@@ -149,7 +149,7 @@ def _check_values(store: Store, e: dict, rows: list[tuple]) -> None:
 
 
 def insert(store: Store, s: S.Insert) -> int:
-    e, scope = store.entry(s.table), _scope(store, s.table)
+    e, scope = store.entry(s.table), scope_of(store, s.table)
     columns = e["columns"]
     targets = [scope.resolve(S.Name(None, c)) for c in s.columns] or list(range(len(columns)))
     if len(set(targets)) < len(targets):
@@ -211,7 +211,7 @@ def scope_free(e: S.Expr) -> S.Expr:
 
 def _matches(store: Store, e: dict, table: str, where: S.Expr | None):
     """The rows a WHERE admits, with c<i> for the columns, _rowid and _xmin."""
-    scope = _scope(store, table)
+    scope = scope_of(store, table)
     rows = store.rows(e)
     frame = rows.select("_rowid", "_xmin", *(F.col(f"`{c.name}`").alias(f"c{i}") for i, c in enumerate(scope.tables[0][1].columns)))
     name = resolver(numbered(rows, scope.tables[0][1], 0))

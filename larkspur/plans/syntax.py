@@ -43,10 +43,9 @@ def tokenize(sql: str) -> list[Token]:
     while at < len(sql):
         m = _TOKEN.match(sql, at)
         if not m:
-            what = "unterminated string" if sql[at] == "'" else "unterminated block comment" if sql.startswith("/*", at) else f"unexpected character {sql[at]!r}"
-            raise SqlError(what, byte)
+            raise SqlError("unterminated string" if sql[at] == "'" else f"unexpected character {sql[at]!r}", byte)
         kind, raw = m.lastgroup, m[0]
-        if kind == "skip" and raw == "/" or kind == "mark" and raw == "/" and sql.startswith("/*", at):
+        if raw == "/" and sql.startswith("/*", at):
             raise SqlError("unterminated block comment", byte)
         if kind == "text":
             out.append(Token("text", raw[1:-1].replace("''", "'"), byte))
