@@ -26,18 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .token_counts import byte_table
 
 #: Matches whose ids a worker remembers, and their characters.
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
 
 
-def byte_table() -> list[str]:
-    """The character that stands for each byte: itself where it can be printed, else from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 class Codec:
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -21,8 +21,11 @@ are ignored; a null id is kept.
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +38,22 @@ from . import common as C
 CHUNK, OVERLAP, EDGE = 16_384, 256, 32
 #: Words whose ids a worker remembers (the first that it meets, so the frequent ones are among them), and their bytes.
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Marks at the end of a word that are encoded apart from ASCII letters before them, where that is shown to hold.
+MARKS = b".,;:!?"
 #: Words that the library encodes in one call.
 CALL_WORDS = 256
 
 
+def byte_table() -> list[str]:
+    """The character that stands for each byte: itself where it can be printed, else from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+SHOWN = dict(enumerate(byte_table()))
+
+
 @lru_cache(maxsize=4)
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,6 +62,20 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def merges_of(tokenizer):
+    """The library's merges, if letters alone reach them by known steps: normalising, lower case, bytes as characters."""
+    import json
+
+    parts = json.loads(tokenizer.to_str())
+    before = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    split = [n["type"] for n in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if before != ["NFC", "Replace", "Lowercase"] or split != ["Split", "ByteLevel"] or sys.byteorder != "little":
+        return None
+    probe = ["a", "word", "unusual", "éà", "straße", "字字", "ñandú", "zzzyx"]
+    same = all([x.id for x in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))] == tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+    return tokenizer.model if same else None
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -118,9 +147,21 @@ class Encoder:
         self.words = all(self.tokenizer.encode(sep.join(probe), add_special_tokens=False).ids == apart for sep in (" ", "\n", "\t \r", "  "))
         lower = self.tokenizer.encode("QUITE Loud", add_special_tokens=False).ids == self.tokenizer.encode("quite loud", add_special_tokens=False).ids
         self.fold = bytes.lower if lower else bytes
+        ab, marks = "a bc def".split(), [".", ",", "...", "!?", ";:"]
+        self.marks = all(self.tokenizer.encode(w + m, add_special_tokens=False).ids == [i for x in (w, m) for i in self.tokenizer.encode(x, add_special_tokens=False).ids] for w in ab for m in marks)
+        self.merges = merges_of(self.tokenizer)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text.  No cycles are made here, so the collector needn't look at the words."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         split: list[tuple[int, list[bytes]]] = []
         whole: list[int] = []
@@ -139,31 +180,46 @@ class Encoder:
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.asarray(e.ids, "<u4").tobytes()
-        known, memo = {}, self.memo
+        memo, passing = self.memo, []
         new = [w for w in met if w not in memo]
-        for w, x in zip(new, self.encoded([w.decode() for w in new]), strict=True):
-            if len(memo) < MEMO_WORDS and len(w) <= MEMO_BYTES:
-                memo[w] = x
-            else:
-                known[w] = x
-        if known:  # words met now that found no place
-            known |= {w: memo[w] for w in met if w in memo}
-        get = (known or memo).__getitem__
+        ends = {}  # words that end in marks are their letters and the marks
+        if self.marks:
+            for w in new:
+                if (stem := w.rstrip(MARKS)) != w and stem.isalpha():
+                    ends[w] = stem, w[len(stem) :]
+            new = list({p for w in new for p in ends.get(w, (w,)) if p not in memo})
+        for w, x in self.encoded(new):
+            if len(memo) - len(passing) >= MEMO_WORDS or len(w) > MEMO_BYTES:
+                passing.append(w)  # found no place; known for these texts only
+            memo[w] = x
+        for w, (stem, tail) in ends.items():
+            memo[w] = memo[stem] + memo[tail]
+        passing += ends
+        get = memo.__getitem__
         for i, words in split:
             out[i] = b"".join(map(get, words))
+        for w in passing:
+            del memo[w]
         return out
 
-    def encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of single words; the library encodes many in one text, and offsets tell them apart."""
-        out: list[bytes] = []
-        for k in range(0, len(words), CALL_WORDS):
-            some = words[k : k + CALL_WORDS]
-            ends = np.cumsum([len(w) + 1 for w in some])
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4")
-            cut = np.searchsorted([a for a, _ in e.offsets], ends)
-            out += [x.tobytes() for x in np.split(ids, cut[:-1])]
-        return out
+    def encoded(self, words: list[bytes]):
+        """Words and their ids.  Words of letters that are normal already are one pre-token each and go to the library's
+        merges alone; of others the library encodes many in one text, and offsets tell them apart."""
+        odd = []
+        for w in words:
+            t = w.decode()
+            if self.merges and t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
+                yield w, array("I", [x.id for x in self.merges.tokenize(w.decode("latin-1").translate(SHOWN))]).tobytes()
+            else:
+                odd.append((w, t))
+        for k in range(0, len(odd), CALL_WORDS):
+            some = odd[k : k + CALL_WORDS]
+            e = self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            ends = np.cumsum([0] + [len(t) + 1 for _, t in some])
+            cut = (4 * np.searchsorted([a for a, _ in e.offsets], ends)).tolist()
+            for (w, _), a, b in zip(some, cut[:-1], cut[1:], strict=True):
+                yield w, ids[a:b]
 
 
 @lru_cache(maxsize=4)
