@@ -30,7 +30,7 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 #: Letters of the stems that count as terms beside whole words, so that an inflected insult is known again.
 STEMS = (4, 5)
 #: Hashed terms whose buckets a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Hasher:
     """Buckets of words; the memo is shared by all texts of a worker."""
 
     bits: int
-    memo: dict[str, list[int]] = field(default_factory=dict)
+    memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def buckets(self, text: str | None) -> np.ndarray:
         """Distinct buckets of the words and stems of a text, in order."""
@@ -63,7 +63,7 @@ class Hasher:
         memo, mask, out = self.memo, (1 << self.bits) - 1, []
         for w in set(WORDS(text.lower())):
             if (b := memo.get(w)) is None:
-                b = [zlib.crc32(x.encode()) & mask for x in (w, *(w[:n] + "~" for n in STEMS if len(w) > n))]
+                b = tuple(zlib.crc32(x.encode()) & mask for x in (w, *(w[:n] + "~" for n in STEMS if len(w) > n)))
                 if len(memo) < MEMO_WORDS:
                     memo[w] = b
             out += b
@@ -107,8 +107,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Fit = Fit()) -> Machine
     if labels.all():
         return Machine(500.0, none.terms, none.w, none.v, how.bits)
     size = 1 << how.bits
-    every = np.bincount(np.concatenate(rows), minlength=size).astype(float)
-    hits = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y] or [np.zeros(0, int)]), minlength=size).astype(float)
+    every = np.bincount(np.concatenate(rows), minlength=size)
+    some = np.flatnonzero(every >= how.least)  # few of all buckets
+    hits = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y] or [np.zeros(0, int)]), minlength=size)[some].astype(float)
+    every = every[some].astype(float)
     pos, n = labels.sum(), len(labels)
 
     def g(seen, total):  # of the 2 x 2 table of a term and the label
@@ -116,9 +118,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Fit = Fit()) -> Machine
             return np.where(seen > 0, seen * np.log(seen / total), 0.0)
 
     score = g(hits, every * pos / n) + g(every - hits, every * (n - pos) / n) + g(pos - hits, (n - every) * pos / n) + g(n - pos - every + hits, (n - every) * (n - pos) / n)
-    score[every < how.least] = 0
-    terms = np.sort(np.argsort(-score, kind="stable")[: how.terms])
-    terms = terms[score[terms] > how.gain].astype("int32")
+    best = np.sort(np.argsort(-score, kind="stable")[: how.terms])
+    terms = some[best[score[best] > how.gain]].astype("int32")
     rng = np.random.default_rng(how.seed)
     model = Machine(float(np.log(pos / (n - pos))), terms, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), how.factors)), how.bits)
     x = [model.index(r) for r in rows]
@@ -153,27 +154,26 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, how: Fit = Fit(), id_
     At most ``how.rows`` labels, the first by hash of the id, go to the driver and from there to the executors, which
     return the buckets of those texts (4 bytes a distinct word)."""
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull())
-    some = some.where(use_on(use, "id")).orderBy(C.row_key("id"), "id", "label").limit(how.rows)
-    picked = some.collect()  # how.rows at most
+    some = some.where(use_on(use, "id"))
+    # a share by hash first, so that what is sorted doesn't grow with the number of tasks
+    share = 1.2 * how.rows / max(1, some.count())
+    some = some.where(F.pmod(C.row_key("id"), F.lit(1 << 30)) < F.lit(min(1.0, share) * (1 << 30)))
+    picked = some.orderBy(C.row_key("id"), "id", "label").limit(how.rows).collect()  # how.rows at most
     if not picked:
         return fit([], np.zeros(0), how)
-    spark = docs.sparkSession
-    ids = np.unique(np.array([r.id for r in picked], "int64"))
-    sent = spark.sparkContext.broadcast(ids)  # 8 * how.rows bytes at most
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({r.id for r in picked})], "id long")
 
     def step():
-        hasher, wanted = Hasher(how.bits), sent.value
+        hasher = Hasher(how.bits)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            batch = batch.filter(pa.array(np.isin(C.column(batch, "id").to_numpy(zero_copy_only=False), wanted)))
-            if not batch.num_rows:
-                return None
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [hasher.buckets(t).astype("<i4").tobytes() for t in C.texts_of(batch)]
             return pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(rows, pa.binary())], names=["id", "buckets"])
 
         return one
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids), "id", "left_semi")  # how.rows ids at most
     found = C.by_slice(texts, step, "id long, buckets binary").collect()
     of: dict[int, list[np.ndarray]] = {}
     for r in sorted(found, key=lambda r: (r.id, bytes(r.buckets))):  # any order of rows fits the same model
