@@ -164,7 +164,8 @@ def search(df: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, id
     blocks = C.materialise(blocks, "blocks")
     tops = sorted((r.block, r.top) for r in blocks.groupBy("block").agg(F.max("norm").alias("top")).collect())  # BLOCKS rows at most
     names, top = np.array([b for b, _ in tops]), np.array([t for _, t in tops])
-    head = vectors.orderBy(F.desc("norm"), "vec_id").limit(HEAD_ROWS).collect()  # HEAD_ROWS rows
+    # the longest vectors are in the first block
+    head = blocks.where(F.col("block") == tops[0][0]).orderBy(F.desc("norm"), "vec_id").limit(HEAD_ROWS).collect()  # HEAD_ROWS rows
     sent = spark.sparkContext.broadcast((turn, [(r.vec_id, r.v, r.norm) for r in head], names, top))
 
     def thresholds(batches):
