@@ -7,8 +7,9 @@ texts.  A text gets the language of the centroid with the highest cosine.  It is
 centroid's floor: a share of the lowest that any of its own training texts has.
 
 Fitting: about ``Fit.per_language`` texts a language, drawn by a hash of their ids, give their counts on the executors;
-the driver fits in numpy.  A language with less than ``Fit.least_share`` of the training rows isn't learned, so at most
-its inverse are.  Scoring is one pass over all texts.
+the driver fits in numpy, a language at a time.  Every language with a labelled text is learned, however rare: what is
+collected is bounded by fewer texts of each (``Fit.rows`` in all, ``Fit.few`` a language at least).  Scoring is one pass
+over all texts.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.  If nothing can be learned, every text is.
 Equal cosines go to the language first in order.  Extra columns are kept by ``identify``.
@@ -38,7 +39,8 @@ STEP_BYTES = 400_000
 @dataclass(frozen=True)
 class Fit:
     per_language: int = 600
-    least_share: float = 1e-3
+    rows: int = 24_000
+    few: int = 20
     dims: int = 1 << 13
     clusters: int = 4
     rounds: int = 12
@@ -109,14 +111,18 @@ def cluster(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tup
 
 def fit(tf: list[tuple[np.ndarray, np.ndarray]], langs: list[str], how: Fit = Fit()) -> Model:
     """Fits to texts given by their places and counts."""
-    dense = np.zeros((len(tf), how.dims), "uint16")
-    for i, (place, n) in enumerate(tf):
-        dense[i, place] = np.minimum(n, 65535)
-    idf = (np.log((1 + len(tf)) / (1 + (dense > 0).sum(0))) + 1).astype("float32")
+    seen, own_rows = np.zeros(how.dims, "int64"), {}
+    for i, ((place, _), lang) in enumerate(zip(tf, langs, strict=True)):
+        seen[place] += 1
+        own_rows.setdefault(lang, []).append(i)
+    idf = (np.log((1 + len(tf)) / (1 + seen)) + 1).astype("float32")
     rng = np.random.default_rng(how.seed)
     centroids, names, floors = [], [], []
-    for lang in sorted(set(langs)):
-        x = vectors(dense[[i for i, v in enumerate(langs) if v == lang]], idf)
+    for lang in sorted(own_rows):
+        dense = np.zeros((len(own_rows[lang]), how.dims), "uint16")
+        for row, i in zip(dense, own_rows[lang], strict=True):
+            row[tf[i][0]] = np.minimum(tf[i][1], 65535)
+        x = vectors(dense, idf)
         centers, own = cluster(x, how.clusters, how.rounds, rng)
         best = (x @ centers.T).max(1)
         for c in range(len(centers)):
@@ -131,15 +137,14 @@ def learn(docs: DataFrame, use, how: Fit = Fit(), id_col: str = "doc_id", text_c
     """Fits to rows with a text, a language and an id for which ``use`` (a function of its column) holds."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.col("lang") != UNKNOWN)).where(use(F.col("id")))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = totals.agg(F.sum("n")).first()[0] or 0
-    share = {r.lang: min(1.0, how.per_language / r.n) for r in totals.where(F.col("n") >= how.least_share * total).collect()}  # 1 / least_share rows at most
-    if not share:
+    rows = rows.where(F.col("text").isNotNull())
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    if not totals:
         return Model(np.ones(how.dims, "float32"), np.zeros((0, how.dims), "float32"), [], np.zeros(0))
+    each = max(how.few, min(how.per_language, how.rows // len(totals)))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in totals], "lang string, part double")
     chance = F.pmod(C.row_key("id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang, part in sorted(share.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (chance < part))
+    chosen = rows.join(F.broadcast(share), "lang").where(chance < F.col("part")).select("id", "lang", "text")
 
     def step():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -151,7 +156,7 @@ def learn(docs: DataFrame, use, how: Fit = Fit(), id_col: str = "doc_id", text_c
 
         return one
 
-    found = C.by_slice(rows.where(chosen).where(F.col("text").isNotNull()), step, "id long, lang string, place binary, n binary").collect()  # per_language / least_share rows at most, about
+    found = C.by_slice(chosen, step, "id long, lang string, place binary, n binary").collect()  # Fit.rows, or Fit.few a language, about
     found.sort(key=lambda r: (r.lang, r.id, bytes(r.place), bytes(r.n)))
     found = [r for r in found if len(r.place)]
     if not found:
@@ -163,7 +168,7 @@ def learn(docs: DataFrame, use, how: Fit = Fit(), id_col: str = "doc_id", text_c
 def identify(docs: DataFrame, model: Model, how: Fit = Fit(), text_col: str = "text", out: tuple[str, str, str] = ("_lang", "_score", "_rejected")) -> DataFrame:
     """All rows with language, cosine and whether it is rejected, named by ``out``, beside their own columns; one pass,
     no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # clusters / least_share centroids at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # Fit.clusters centroids a language at most
     names = docs.columns
     at = names.index(text_col)
 

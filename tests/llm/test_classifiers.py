@@ -99,6 +99,23 @@ def test_language(spark):
     assert language_id.identify(docs.limit(0), model).collect() == []
 
 
+def test_rare_languages_are_learned(spark):
+    """A share of the table says nothing about a language: 30 labelled rows of 40,000, and a single one, are learned too."""
+    r = random.Random(8)
+    common = [(i, f"some plain words number {i % 97}", "aa") for i in range(40_000)]
+    rare = [(50_000 + i, " ".join(word(r, "ЖЩЮЯабвг") for _ in range(30)), "ru") for i in range(60)]
+    once = [(i, " ".join(word(r, "αβγδεζηθ") for _ in range(30)), "el") for i in range(60_001, 60_010) if not crc_held_out(i)][:1]
+    unlabelled = [(70_000 + i, None, "dd") for i in range(50)]
+    docs = spark.createDataFrame(common + rare + once + unlabelled, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, language_id.not_held_out)
+    assert set(model.langs) == {"aa", "ru", "el"}
+    got = {x.doc_id: x for x in language_id.identify(docs, model).collect()}
+    for i, _, lang in rare + once:
+        assert got[i]._lang == lang and not got[i]._rejected
+    fewer = language_id.learn(docs, language_id.not_held_out, language_id.Fit(rows=1))  # a bound on rows leaves no language out
+    assert set(fewer.langs) == {"aa", "ru", "el"}
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     text = "one two three " * 200
     whole = language_id.counts(text, 512)
