@@ -3,7 +3,11 @@
 Each pass hashes every vector to the signs of its products with random directions, concatenated to one number, sorts all
 vectors by it and compares each with the next ``window`` ones, across task boundaries too.  Pairs whose cosine (double
 precision) reaches the threshold join; the passes' pairs together give components.  A task passes on a spanning forest
-of its pairs, so a group of copies makes as many rows as it has members.
+of its pairs.
+
+Vectors of equal direction are joined by a hash first, and only one of them (of the least id) takes part in the passes:
+copies fill no windows.  Passes and window grow with the number of those that take part (``extent``), so that a pair at
+the threshold is found as often in a large table as in a small one.
 
 Windows are bounded, groups are not, so links are counted afterwards within each component, exactly: with a leader (its
 smallest id) at angles a and b, two members surely link when a + b is at most the threshold's angle.  All pairs of
@@ -17,8 +21,12 @@ vector.  A null id links with nothing; its component is null and it is not kept.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +34,34 @@ from . import common as C
 from .graph import components
 
 SIMILAR, PASSES, WINDOW, BITS = 0.9, 16, 24, 62
+#: Different vectors up to which PASSES and WINDOW do: they find about 97 % of random pairs at cosine 0.9.
+ENOUGH = 50_000
+#: Passes that one shuffle sorts, and rows of one direction that one task joins, about.
+AT_ONCE, COPIES = 16, 1 << 18
 #: Rows of a block, and members that one task compares with their leader.
 BLOCK_ROWS, PARTNERS = 1024, 256
 SEED = 17
 
 
+def extent(n: int, least: float = SIMILAR) -> tuple[int, int]:
+    """Passes and window for ``n`` different vectors.
+
+    Two vectors at angle a share a bit with probability p = 1 - a / pi, and a window reaches over about log2(n / window)
+    bits, so a pass finds a pair with probability (n / window) ** log2(p): passes grow by its inverse."""
+    more = max(1.0, n / ENOUGH)
+    window = math.ceil(WINDOW * more**0.25)
+    share = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    return math.ceil(PASSES * max(1.0, more * WINDOW / window) ** -math.log2(max(share, 0.5))), window
+
+
+def direction(v: np.ndarray) -> bytes:
+    """128-bit hash that vectors share when they are multiples of each other, but for rounding and zeros at the end."""
+    x = v.astype("float64")
+    x /= np.abs(x).max()
+    x = np.rint(x / np.linalg.norm(x) * 2.0**30).astype("int64")
+    return xxhash.xxh3_128_digest(x[: np.flatnonzero(x)[-1] + 1].tobytes())
+
+
 def unpack(rows: list[bytes], dims: int) -> np.ndarray:
     """Vectors of length one."""
     out = np.zeros((len(rows), dims))
@@ -42,21 +73,22 @@ def unpack(rows: list[bytes], dims: int) -> np.ndarray:
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, dims); v is null for rows that link with nothing."""
+    """(vec_id, v, dims, kind); v and kind are null for rows that link with nothing."""
     kind = "float" if dict(df.dtypes)[vector_col] == "array<float>" else "double"
 
     def run(batches):
         code, head = ("<f4", b"f") if kind == "float" else ("<f8", b"d")
         for b in batches:
-            out = []
-            for x in C.column(b, "x").to_pylist():
-                v = None if x is None or None in x else np.array(x, code)
-                out.append(None if v is None or not v.any() or not np.isfinite(v).all() else head + v.tobytes())
+            out, kinds = [], []
             ids = C.column(b, "vec_id")
-            out = [v if i is not None else None for v, i in zip(out, ids.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), pa.array([0 if v is None else len(v) // int(code[-1]) for v in out], pa.int32())], names=["vec_id", "v", "dims"])
+            for x, i in zip(C.column(b, "x").to_pylist(), ids.to_pylist(), strict=True):
+                v = None if i is None or x is None or None in x else np.array(x, code)
+                usable = v is not None and v.any() and np.isfinite(v).all()
+                out.append(head + v.tobytes() if usable else None)
+                kinds.append(direction(v) if usable else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), pa.array([0 if v is None else len(v) // int(code[-1]) for v in out], pa.int32()), pa.array(kinds, pa.binary())], names=["vec_id", "v", "dims", "kind"])
 
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("x")).mapInArrow(run, "vec_id long, v binary, dims int")
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("x")).mapInArrow(run, "vec_id long, v binary, dims int, kind binary")
 
 
 class Forest:
@@ -93,29 +125,45 @@ def close(ids: np.ndarray, passes: np.ndarray, x: np.ndarray, window: int, least
     return out
 
 
+def without_copies(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, v) of the least id of each direction, and (a, b) that connect each row with it, by way of the least id
+    of a share of the direction's rows, so that no task has all rows of a common one."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // COPIES))))
+    some = C.materialise(rows.groupBy("kind", "salt").agg(F.min(F.struct("vec_id", "v")).alias("first")), "directions")
+    first = C.materialise(some.groupBy("kind").agg(F.min("first").alias("least")), "directions")
+    near = rows.select("kind", "salt", "vec_id").join(some.select("kind", "salt", F.col("first.vec_id").alias("a")), ["kind", "salt"]).select("a", F.col("vec_id").alias("b"))
+    far = some.join(first, "kind").select(F.col("least.vec_id").alias("a"), F.col("first.vec_id").alias("b"))
+    return first.select("least.*"), near.unionByName(far).where("a <> b")
+
+
 def linked_pairs(rows: DataFrame, dims: int, least: float, passes: int, window: int) -> DataFrame:
     """(a, b): verified pairs of all passes, enough to connect all that were found."""
+    parts = [_passes(rows, dims, least, range(p, min(p + AT_ONCE, passes)), window) for p in range(0, passes, AT_ONCE)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _passes(rows: DataFrame, dims: int, least: float, passes: range, window: int) -> DataFrame:
 
     def hashed(batches):
         rng = np.random.default_rng(SEED)
-        directions = rng.normal(size=(passes, dims, BITS))
+        directions = rng.normal(size=(passes.stop, dims, BITS))
         power = (1 << np.arange(BITS, dtype="int64"))[::-1]
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 x, ids = unpack(C.column(part, "v").to_pylist(), dims), C.column(part, "vec_id").to_numpy()
-                for p in range(passes):
+                for p in passes:
                     key = (x @ directions[p] > 0).astype("int64") @ power
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), p, "int8")), pa.array(key), C.column(part, "vec_id"), C.column(part, "v")], names=["pass", "key", "vec_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), p, "int16")), pa.array(key), C.column(part, "vec_id"), C.column(part, "v")], names=["pass", "key", "vec_id", "v"])
 
     order = ["pass", "key", F.xxhash64("vec_id", "pass")]  # ties in another order in each pass
-    placed = rows.select("vec_id", "v").mapInArrow(hashed, "pass byte, key long, vec_id long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "a long, b long, edge int, side byte, at int, pass byte, v binary"
+    placed = rows.select("vec_id", "v").mapInArrow(hashed, "pass short, key long, vec_id long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "a long, b long, edge int, side byte, at int, pass short, v binary"
 
     def batch(pairs, ends):
         a, b = [p[0] for p in pairs] + [e[0] for e in ends], [p[1] for p in pairs] + [None] * len(ends)
         rest = [[None] * len(pairs) + [e[k] for e in ends] for k in range(1, 6)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int8(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int16(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([a, b, *rest], kinds, strict=True)], names=["a", "b", "edge", "side", "at", "pass", "v"])
 
     def slide(batches):
@@ -220,15 +268,18 @@ def count_links(rows: DataFrame, groups: DataFrame, dims: int, least: float) ->
 
 
 @C.shipped
-def near_duplicates(df: DataFrame, least: float = SIMILAR, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row."""
+def near_duplicates(df: DataFrame, least: float = SIMILAR, passes: int | None = None, window: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row; passes and window that aren't given follow ``extent``."""
     every = C.materialise(vectors(df, id_col, vector_col), "vectors")
     rows = every.where("v is not null")
-    dims = rows.agg(F.max("dims")).first()[0]
+    dims, n = rows.agg(F.max("dims"), F.count("*")).first()
     if dims is None:
         plain = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
-        groups = C.materialise(components(linked_pairs(rows, dims, least, passes, window)), "groups")
+        different, copies = without_copies(rows, n)
+        grown = extent(different.count(), least)
+        pairs = linked_pairs(different, dims, least, passes or grown[0], window or grown[1])
+        groups = C.materialise(components(pairs.unionByName(copies)), "groups")
         links = count_links(rows, groups, dims, least)
         plain = every.join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(links, "vec_id", "left")
         # a row without a usable vector has no part in what its id's other rows do
