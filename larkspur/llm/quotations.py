@@ -2,9 +2,10 @@
 
 Each message is parsed once: its lines' quote levels (``>`` marks, blanks between them allowed), passages (runs of lines
 of one level, without the line that introduces them, "... wrote:"), and its own text.  Passages are normalised (lower
-case, marks and white space folded, punctuation dropped) and hashed.  A message offers its own text, its paragraphs and
-its lines under such hashes; originals are aggregated to the earliest message of each hash, in a conversation and over
-all, before quotes are joined to them.  A quote is linked to the earliest message of its own conversation that offers
+case, marks and white space folded, punctuation dropped) and hashed.  A message offers its own text, its paragraphs, its
+lines and every run of lines under such hashes.  Of the runs only those are hashed that start with the first line of a
+passage and have as many lines as it (blank ones aside), so no message makes all of its runs.  Originals are aggregated
+to the earliest message of each hash, in a conversation and over all, before quotes are joined to them.  A quote is linked to the earliest message of its own conversation that offers
 it, else to the earliest of all, but only to messages before its own by (conv_id, turn).  A message replies to what its
 outermost linked passage comes from (first of equal level), else to the turn before it.
 
@@ -81,6 +82,41 @@ def offered(own: str) -> list[int]:
     return sorted({f for p in parts if (f := fingerprint(p)) is not None})
 
 
+def lines_of(text: str) -> list[str]:
+    """Normalised lines of which anything is left."""
+    return [x for line in text.split("\n") if (x := normalised(line))]
+
+
+def runs(own: str, wanted: dict[int, list[int]]) -> set[int]:
+    """Hashes of the runs of a message's own lines that start with a wanted line and have a number of lines wanted of it."""
+    lines, out = lines_of(own), set()
+    for at, line in enumerate(lines):
+        lengths = {n for n in wanted.get(fingerprint(line), ()) if n <= len(lines) - at}
+        if lengths:
+            h = xxhash.xxh3_64(line)
+            for n in range(2, max(lengths) + 1):
+                h.update(" " + lines[at + n - 1])
+                if n in lengths:
+                    out.add(h.intdigest() - 2**63)
+    return out
+
+
+def offered_runs(messages: DataFrame, offers: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash) of the runs of lines that passages of two lines and more ask for."""
+    wanted = quotes.where("lines > 1").groupBy(F.col("lead").alias("hash")).agg(F.collect_set("lines").alias("lengths"))  # lengths, however many quotes
+    asked = offers.join(wanted, "hash").groupBy("conv_id", "turn").agg(F.collect_set(F.struct("hash", "lengths")).alias("wanted"))
+    held = messages.select("conv_id", "turn", "own").join(asked, ["conv_id", "turn"])
+
+    def step():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [runs(o, {w["hash"]: w["lengths"] for w in ws}) for o, ws in zip(C.texts_of(batch, "own"), C.column(batch, "wanted").to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([C.column(batch, "conv_id"), C.column(batch, "turn"), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], names=["conv_id", "turn", "offers"])
+
+        return one
+
+    return C.by_slice(held, step, "conv_id long, turn long, offers array<long>", "own").select("conv_id", "turn", F.explode("offers").alias("hash"))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, text, own, offers, quotes) of each message."""
 
@@ -90,12 +126,14 @@ def parsed(messages: DataFrame) -> DataFrame:
             found = [parse(t) for t in texts]
             own = pa.array([o for o, _ in found], pa.string())
             offers = pa.array([offered(o) for o, _ in found], pa.list_(pa.int64()))
-            quotes = pa.array([[{"level": n, "hash": f} for n, q in qs if (f := fingerprint(q)) is not None] for _, qs in found], pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())])))
+            split = [[(n, fingerprint(q), lines_of(q)) for n, q in qs] for _, qs in found]
+            quotes = [[{"level": n, "hash": f, "lead": fingerprint(x[0]), "lines": len(x)} for n, f, x in qs if f is not None] for qs in split]
+            quotes = pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("lead", pa.int64()), ("lines", pa.int32())])))
             return pa.RecordBatch.from_arrays([C.column(batch, "conv_id"), C.column(batch, "turn"), own, offers, quotes], names=["conv_id", "turn", "own", "offers", "quotes"])
 
         return one
 
-    return C.by_slice(messages, step, "conv_id long, turn long, own string, offers array<long>, quotes array<struct<level:int,hash:long>>")
+    return C.by_slice(messages, step, "conv_id long, turn long, own string, offers array<long>, quotes array<struct<level:int,hash:long,lead:long,lines:int>>")
 
 
 @C.shipped
@@ -105,10 +143,10 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_
     every = C.materialise(parsed(messages), "messages")
     whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     offers = every.where(whole).select("conv_id", "turn", F.explode("offers").alias("hash"))
-    quotes = every.where(whole).select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
+    quotes = every.where(whole).select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"), F.col("q.lead").alias("lead"), F.col("q.lines").alias("lines"))
     quotes = C.materialise(quotes, "quotes")
     wanted = quotes.select("hash").distinct()  # offers that nobody quotes aren't aggregated
-    offers = offers.join(wanted, "hash", "left_semi")
+    offers = offers.unionByName(offered_runs(every.where(whole), offers, quotes)).join(wanted, "hash", "left_semi")
     here = offers.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
     first = here.groupBy("hash").agg(F.min(F.struct("conv_id", "here")).alias("first"))
     # one original a hash, so a passage that everybody quotes joins one row

@@ -346,3 +346,22 @@ def test_quotations(spark, seed):
             place.setdefault((g.conv_id, g.turn), g.position)
         assert all(place[g.reply_conv, g.reply_turn] < g.position for g in some if g.reply_turn is not None)
     assert quotations.link(frame.limit(0)).collect() == []
+
+
+def test_part_of_a_paragraph_is_linked(spark):
+    """Two of four lines, a run across a blank line, and lines that no message has in this order."""
+    first = "Line one is here.\nLine two, too!\nLine three.\nLine four\n\nAnother paragraph"
+    rows = [
+        (1, 0, first),
+        (1, 1, "something else"),
+        (1, 2, "> Line two, too!\n> Line three.\nI agree"),
+        (1, 3, "> line four\n> another paragraph\nMe too"),
+        (1, 4, "> Line three.\n> Line two, too!\nNo such run"),
+        (2, 0, "> Line one is here.\n> Line two, too!\n> Line three.\nFrom afar"),
+    ]
+    got = {(g.conv_id, g.turn): g for g in quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    for key in ((1, 2), (1, 3), (2, 0)):
+        assert (got[key].reply_conv, got[key].reply_turn, got[key].n_linked) == (1, 0, 1), key
+    assert (got[1, 4].reply_turn, got[1, 4].n_linked) == (3, 0)
+    assert {g.conversation_id for g in got.values()} == {1} and got[2, 0].position == 5
+    assert quotations.runs(first, {quotations.fingerprint("line two too"): [2, 9]}) == {quotations.fingerprint("Line two, too!\nLine three.")}
