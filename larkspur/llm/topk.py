@@ -8,7 +8,8 @@ the first rotated places plus the product of the residual lengths (Cauchy-Schwar
 products are exact.  A task holds one block, queries stream by, and each block returns at most k rows a query.
 
 Vectors that are null or hold null or non-finite components take no part.  Shorter vectors count as filled up with
-zeros.  Rows that repeat both id and vector are one row; a query never meets rows with its own id.  Ties go to the
+zeros.  Rows that repeat both id and vector are one row; of other rows that share an id the best score counts, once a
+query; a query never meets rows with its own id.  Ties go to the
 smaller id.  Scores beyond 64 bits saturate.  Null ids take no part.  An empty table gives an empty result.
 """
 
@@ -102,7 +103,7 @@ class Block:
         self.rest = [np.sqrt((self.turned[:, s:] ** 2).sum(1)) for s in self.stops]
 
     def best(self, ids: np.ndarray, q: np.ndarray, norms: np.ndarray, least: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each query the up to k best (vec_id, score) that reach ``least``."""
+        """Of each query the up to k best (vec_id, score) that reach ``least``; a vec_id once, with its best score."""
         least = least.astype("float64").copy()
         turned = q @ turn
         rest = [np.sqrt((turned[:, s:] ** 2).sum(1)) for s in self.stops]
@@ -136,7 +137,8 @@ class Block:
             for r in np.unique(who):
                 mine = who == r
                 c, s = np.concatenate([found[r][0], cand[mine]]), np.concatenate([found[r][1], score[mine]])
-                top = np.lexsort((c, -s))[:k]
+                top = np.lexsort((c, -s))
+                top = top[np.sort(np.unique(c[top], return_index=True)[1])][:k]  # the best of each vec_id
                 found[r] = (c[top], s[top])
                 if len(top) == k:
                     least[r] = max(least[r], float(s[top[-1]]))

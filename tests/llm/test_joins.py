@@ -195,6 +195,15 @@ def test_top_k_of_large_numbers_and_few_rows(spark):
     assert topk.search(df.limit(0)).collect() == []
 
 
+def test_rows_of_one_id_take_one_place(spark):
+    """A vec_id on many rows with different, high-scoring vectors leaves the other places to others."""
+    rows = [(100, [1.0, 0.0])] + [(7, [9.0 + i, 1.0]) for i in range(30)] + [(i, [i / 50, 2.0]) for i in range(20, 50)]
+    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    best = {i: max(1024 * math.floor(1024 * v[0]) for j, v in rows if j == i) for i, _ in rows if i != 100}
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert got == [(100, n + 1, i, score) for n, (i, score) in enumerate(want)]
+
+
 def brute_links(rows, least=0.9):
     ok = {}
     for k, (i, v) in enumerate(rows):
