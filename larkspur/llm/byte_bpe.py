@@ -8,7 +8,9 @@ library encodes the others in Arrow batches.
 Decoding reverses the byte table, id by id, and joins bytes, so a character that two tokens share comes back whole.
 ``decode`` of ids that end within a character holds its first bytes back (``Decoder``), or replaces them at the end.
 
-Nulls count as empty text: no ids, hashes of no bytes.  Extra columns are ignored; repeated rows give repeated results.
+Nulls count as empty text: no ids, hashes of no bytes.  An empty table gives an empty result.  Very long texts are
+encoded whole, in memory in proportion to them.  Extra columns are ignored, whatever their names; repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import base64
 import codecs
 import hashlib
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +93,9 @@ class Decoder:
         return self.rest.decode(self.codec.decode_bytes(ids), last)
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    """One for each worker, so that its memo serves all its tasks."""
+    return C.kept(__name__, (path, pattern), lambda: Codec(path, pattern))
 
 
 @C.shipped

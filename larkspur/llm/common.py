@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +13,6 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ SLICE_ROWS = 512
 #: Characters of text that one Python step looks at, however many rows they are.
 SLICE_CHARS = 4_000_000
 #: Rows and bytes of an Arrow batch at most.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 #: Bits of a filter of ids (2 to this power): 8 MB, however many ids there are.
 FILTER_BITS = 26
 
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "/tmp/larkspur-shared"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -104,6 +107,37 @@ def crc_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+# --- memory of workers: Spark reuses them, so what one operator holds would stay beside the next one's ----------------
+
+_held: dict = {}
+
+
+def begin(owner: str) -> None:
+    """Lets go of what another operator keeps in this worker."""
+    if _held and _held.get("owner") != owner:
+        _held.clear()
+        trim()
+    _held["owner"] = owner
+
+
+def kept(owner: str, key, make: Callable):
+    """Something that a worker keeps for all its tasks of one operator, such as a tokenizer and its memo."""
+    begin(owner)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that a slice holds at most SLICE_ROWS rows and about SLICE_CHARS bytes of text."""
     for batch in batches:
@@ -118,11 +152,16 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
 def by_slice(df: DataFrame, step: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, text: str = "text") -> DataFrame:
     """mapInArrow over bounded slices.  ``step()`` is called once a task and gives the function for a slice."""
 
+    owner = step.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         one = step()
         for part in slices(batches, text):
             if (out := one(part)) is not None:
                 yield out
+        del one
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -159,10 +198,10 @@ def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
     got = {r.part: bytes(r.bits) for r in dealt.mapInArrow(gather, "part int, bits binary").collect()}  # 2 ** FILTER_BITS / 8 bytes
     sent = ids.sparkSession.sparkContext.broadcast(b"".join(got.get(k, b"\0" * (cells // 8)) for k in range(parts)))
 
-    @F.pandas_udf("boolean")
-    def hit(at: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def hit(at: pa.Array) -> pa.Array:
         bits, at = np.frombuffer(sent.value, "uint8"), at.to_numpy()
-        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool))
+        return pa.array(((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).astype(bool))
 
     return lambda c: hit(place(c))
 

@@ -45,7 +45,7 @@ SKETCH_BITS = 20
 #: Largest boundary that is looked at, and the cost of a comparison in postings.
 BOUNDARY, COMPARISON = 12, 3.0
 #: Classes whose postings a task remembers to have made.
-SEEN = 500_000
+SEEN = 100_000
 #: Partners of one set that one task compares.
 PARTNERS = 256
 #: A list that may hold more entries than this, and than twice a bucket's mean (by the sketch, which never counts too
@@ -130,6 +130,7 @@ def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
     parts = 64
 
     def count(batches):
+        C.begin(__name__)
         seen, sizes = np.zeros(1 << SKETCH_BITS, "int64"), np.zeros(2 * BOUNDARY + 2, "int64")
         for b in C.slices(batches):
             sets = [shingles(t, n) for t in C.texts_of(b)]
@@ -140,6 +141,8 @@ def sketch(rows: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
             width = [int(c.max(initial=0)) for c in cells]  # most counts of a task fit in one or two bytes
             kinds = ["u1" if w < 1 << 8 else "<u2" if w < 1 << 16 else "<i8" for w in width]
             yield pa.RecordBatch.from_arrays([pa.array([*range(parts), parts], pa.int32()), pa.array([*kinds, "<i8"]), pa.array([*(c.astype(k).tobytes() for c, k in zip(cells, kinds, strict=True)), sizes.tobytes()], pa.binary())], names=["part", "kind", "cells"])
+        del seen
+        C.trim()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -165,6 +168,7 @@ def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, in
     limit = max(HOT_ROWS, 2 * float(seen.mean()))
 
     def run(batches):
+        C.begin(__name__)
         often, done = sent.value, set()
         for b in C.slices(batches):
             ids = C.column(b, "doc_id").to_pylist()
@@ -195,6 +199,8 @@ def postings(rows: DataFrame, seen: np.ndarray, x: int, n: int, t: tuple[int, in
             cols = [np.concatenate([docs[k], *out[k]]) for k in range(5)]
             who = pa.array(ids + [None] * (len(cols[0]) - len(ids)), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype("int8")), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype("int32")), pa.array(cols[4].astype("int32")), who], names=["kind", "class", "key", "size", "at", "doc_id"])
+        del done
+        C.trim()
 
     return rows.mapInArrow(run, "kind byte, class long, key long, size int, at int, doc_id long")
 
@@ -227,6 +233,7 @@ def compare(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, t: tu
                         out.append((a, other))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+        C.trim()
 
     return dealt.mapInArrow(run, "a long, b long")
 

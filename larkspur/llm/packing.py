@@ -48,7 +48,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """The pieces of each document: doc_id, piece, start, length, ids_crc32.  One pass, no shuffle."""
 
     def step():
-        ids_of, end = encoder(path, CHUNK).ids, np.uint32(end_id).tobytes()
+        ids_of, end = encoder(path, CHUNK, owner=__name__).ids, np.uint32(end_id).tobytes()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []

@@ -12,21 +12,23 @@ p - 1 and p (the character at p is ASCII, or a letter, number or punctuation tha
 before it).  Merges stay inside a pre-token, so ids left of p come from the left chunk and ids right of p from the
 right one.  If an overlap has no such p, it is doubled, up to the rest of the text.
 
-Inside a chunk without special strings, words between ASCII white space are independent for a tokenizer that drops
-white space; their ids are memoised in a bounded table, and the library encodes the words that it lacks.
+Inside a chunk without special strings, words between ASCII white space are independent, as the pre-tokenizer drops
+white space; their ids are memoised in a bounded table, and the library encodes the words that it lacks.  All this holds
+for the normalizer and pre-tokenizer named below, which are compared with the file's; with any others the library
+encodes whole texts.
 
-Nulls count as empty text: 0 bytes, 0 tokens, over_limit false.  Repeated rows give repeated results.  Extra columns
-are ignored; a null id is kept.
+Nulls count as empty text: 0 bytes, 0 tokens, over_limit false.  An empty table gives an empty result.  Repeated rows
+give repeated results.  Extra columns are ignored, whatever their names; a null id is kept.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import sys
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from . import common as C
 CHUNK, OVERLAP, EDGE = 16_384, 256, 32
 #: Words whose ids a worker remembers (the first that it meets, so the frequent ones are among them), and their bytes.
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
-#: Marks at the end of a word that are encoded apart from ASCII letters before them, where that is shown to hold.
+#: Marks at the end of a word: the pre-tokenizer parts them from ASCII letters before them.
 MARKS = b".,;:!?"
 #: Words that the library encodes in one call.
 CALL_WORDS = 256
@@ -54,7 +56,6 @@ def byte_table() -> list[str]:
 SHOWN = dict(enumerate(byte_table()))
 
 
-@lru_cache(maxsize=4)
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -62,18 +63,19 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def merges_of(tokenizer):
-    """The library's merges, if letters alone reach them by known steps: normalising, lower case, bytes as characters."""
-    import json
+# The normalizer and pre-tokenizer for which the proofs above and below hold, as the library spells them.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
+
+def proven(tokenizer) -> bool:
+    """Whether the file names the steps that the proofs are about; with any others the library encodes whole texts."""
     parts = json.loads(tokenizer.to_str())
-    before = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
-    split = [n["type"] for n in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
-    if before != ["NFC", "Replace", "Lowercase"] or split != ["Split", "ByteLevel"] or sys.byteorder != "little":
-        return None
-    probe = ["a", "word", "unusual", "éà", "straße", "字字", "ñandú", "zzzyx"]
-    same = all([x.id for x in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))] == tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
-    return tokenizer.model if same else None
+    steps = ((parts["normalizer"] or {}).get("normalizers"), (parts["pre_tokenizer"] or {}).get("pretokenizers"))
+    return steps == (NORMALIZER, PRE_TOKENIZER) and parts["model"]["type"] == "BPE" and not parts["model"]["dropout"] and sys.byteorder == "little"
 
 
 def tokenizer_path(name: str) -> str:
@@ -141,15 +143,8 @@ class Encoder:
         self.memo: dict[bytes, bytes] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = [s.encode() for s in special]
-        # independence of words is only claimed for a tokenizer shown to drop white space
-        probe = ["a", "b1", "it's", "é", "x-y"]
-        apart = [i for w in probe for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        self.words = all(self.tokenizer.encode(sep.join(probe), add_special_tokens=False).ids == apart for sep in (" ", "\n", "\t \r", "  "))
-        lower = self.tokenizer.encode("QUITE Loud", add_special_tokens=False).ids == self.tokenizer.encode("quite loud", add_special_tokens=False).ids
-        self.fold = bytes.lower if lower else bytes
-        ab, marks = "a bc def".split(), [".", ",", "...", "!?", ";:"]
-        self.marks = all(self.tokenizer.encode(w + m, add_special_tokens=False).ids == [i for x in (w, m) for i in self.tokenizer.encode(x, add_special_tokens=False).ids] for w in ab for m in marks)
-        self.merges = merges_of(self.tokenizer)
+        self.proven = proven(self.tokenizer)
+        self.merges = self.tokenizer.model
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.  No cycles are made here, so the collector needn't look at the words."""
@@ -167,14 +162,14 @@ class Encoder:
         whole: list[int] = []
         met: set[bytes] = set()
         for i, t in enumerate(texts):
-            if len(t) > self.chunk:
+            if self.proven and len(t) > self.chunk:
                 out[i] = np.asarray(resynchronised(self.tokenizer, t, self.chunk, self.overlap), "<u4").tobytes()
                 continue
             raw = t.encode()
-            if not self.words or b"<|" in raw or any(s in raw for s in self.special):
+            if not self.proven or any(s in raw for s in self.special):
                 whole.append(i)
                 continue
-            words = self.fold(raw).split()
+            words = raw.lower().split()  # of bytes: A-Z alone
             split.append((i, words))
             met.update(words)
         if whole:
@@ -183,11 +178,10 @@ class Encoder:
         memo, passing = self.memo, []
         new = [w for w in met if w not in memo]
         ends = {}  # words that end in marks are their letters and the marks
-        if self.marks:
-            for w in new:
-                if (stem := w.rstrip(MARKS)) != w and stem.isalpha():
-                    ends[w] = stem, w[len(stem) :]
-            new = list({p for w in new for p in ends.get(w, (w,)) if p not in memo})
+        for w in new:
+            if (stem := w.rstrip(MARKS)) != w and stem.isalpha():
+                ends[w] = stem, w[len(stem) :]
+        new = list({p for w in new for p in ends.get(w, (w,)) if p not in memo})
         for w, x in self.encoded(new):
             if len(memo) - len(passing) >= MEMO_WORDS or len(w) > MEMO_BYTES:
                 passing.append(w)  # found no place; known for these texts only
@@ -208,7 +202,7 @@ class Encoder:
         odd = []
         for w in words:
             t = w.decode()
-            if self.merges and t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
+            if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
                 yield w, array("I", [x.id for x in self.merges.tokenize(w.decode("latin-1").translate(SHOWN))]).tobytes()
             else:
                 odd.append((w, t))
@@ -222,10 +216,9 @@ class Encoder:
                 yield w, ids[a:b]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Encoder:
-    """One for each worker, so that its memo serves all its tasks."""
-    return Encoder(path, chunk, overlap)
+def encoder(path: str, chunk: int = CHUNK, overlap: int = OVERLAP, owner: str = __name__) -> Encoder:
+    """One for each worker, so that its memo serves all its tasks of one operator."""
+    return C.kept(owner, (path, chunk, overlap), lambda: Encoder(path, chunk, overlap))
 
 
 @C.shipped
