@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .errors import NotNull, NotUnique
 
 #: Table and the column that its rows are ordered by, where it has one.
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id"}
@@ -26,7 +27,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "filter_is_null": ("SELECT o_orderkey FROM orders_null WHERE o_orderstatus IS NULL", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL"),
     "filter_like": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring' AND p_type NOT LIKE 'E_ONOMY'", None),
     "filter_between": ("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_discount NOT BETWEEN 0.02 AND 0.08", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_discount NOT BETWEEN 0.02::DOUBLE AND 0.08::DOUBLE"),
-    "filter_truthiness": ("SELECT n_nationkey FROM nation WHERE n_regionkey AND NOT n_name", "SELECT n_nationkey FROM nation WHERE false"),
+    "filter_truthiness": ("SELECT n_nationkey, n_name AND TRUE AS a, n_name OR n_regionkey AS b, NOT n_regionkey AS c FROM nation WHERE n_regionkey OR NOT n_name OR n_nationkey = 5", "SELECT n_nationkey, NULL::BOOLEAN AS a, CASE WHEN n_regionkey <> 0 THEN true END AS b, n_regionkey = 0 AS c FROM nation WHERE n_regionkey <> 0 OR n_nationkey = 5"),
     "filter_truthy_number": ("SELECT n_nationkey FROM nation WHERE n_regionkey", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 0"),
     "filter_cross_kind": ("SELECT n_nationkey FROM nation WHERE NOT n_name = 1 OR n_regionkey = 1.0", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"),
     "expr_int_div_mod": ("SELECT o_orderkey, o_orderkey / (o_custkey % 7) AS q, o_orderkey % (o_custkey % 7) AS r FROM orders", "SELECT o_orderkey, o_orderkey // nullif(o_custkey % 7, 0) AS q, o_orderkey % nullif(o_custkey % 7, 0) AS r FROM orders"),
@@ -38,6 +39,8 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "distinct_nulls": ("SELECT DISTINCT o_orderstatus AS s FROM orders_null", "SELECT DISTINCT nullif(o_orderstatus, 'P') AS s FROM orders"),
     "distinct_topn": ("SELECT DISTINCT c_nationkey FROM customer ORDER BY c_nationkey LIMIT 5", None),
     "distinct_foreign_order": ("SELECT DISTINCT c_mktsegment FROM customer ORDER BY c_custkey LIMIT 3", "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY min(c_custkey) LIMIT 3"),
+    "distinct_limit": ("SELECT DISTINCT o_orderstatus, o_custkey FROM orders LIMIT 40", "SELECT o_orderstatus, o_custkey FROM orders GROUP BY ALL ORDER BY min(o_orderkey) LIMIT 40"),
+    "distinct_order_ties": ("SELECT DISTINCT o_custkey FROM orders ORDER BY o_orderstatus DESC LIMIT 30", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_orderstatus) DESC, arg_max(-o_orderkey, (o_orderstatus, -o_orderkey)) DESC LIMIT 30"),
     "select_all": ("SELECT ALL r_name FROM region", "SELECT r_name FROM region"),
     "topn_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
     "order_full": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey", None),
@@ -84,8 +87,10 @@ READ = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM s"
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/larkspur-shared"
-    return f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(top or '/tmp/larkspur-shared').rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 def _changed(*statements: str, read: str = READ, create: str = SUPPLIER, load: bool = True) -> Callable[[SparkSession, str], DataFrame]:
@@ -116,6 +121,77 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+SAME = "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier"
+
+
+def _refused(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What is left after statements that constraints refuse; one that passes is an error."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark, _folder(spark))
+        e.execute(SUPPLIER)
+        e.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+        for s in statements:
+            try:
+                e.execute(s)
+            except (NotNull, NotUnique):
+                continue
+            raise AssertionError(f"not refused: {s}")
+        return e.query(READ).frame
+
+    return run
+
+
+def _beside(first: str, other: str, last: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    """What an engine reads after ``first``, while another has run ``other`` and a checkpoint; ``last`` follows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        a, b = Engine(spark, path), Engine(spark, path)
+        a.execute(SUPPLIER)
+        a.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+        a.execute(first)
+        b.execute(other)
+        b.checkpoint()
+        if last:
+            a.execute(last)
+        return a.query(READ).frame
+
+    return run
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What VACUUM counts in a transaction, and what is there after it is rolled back."""
+    e = Engine(spark, _folder(spark))
+    e.execute(SUPPLIER)
+    e.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    e.execute("DELETE FROM s WHERE s_nationkey = 1; BEGIN; DELETE FROM s WHERE s_nationkey = 2")
+    counts = [e.query("VACUUM s").affected, e.query("VACUUM s").affected]
+    e.execute("ROLLBACK")
+    left = e.query(READ).frame.count()
+    return spark.createDataFrame([(counts[0], counts[1], left)], "swept long, again long, rows_left long")
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by an index of a stored table, whose files have a Bloom filter of it."""
+    e = Engine(spark, _folder(spark))
+    e.execute("CREATE TABLE c (c_custkey INTEGER PRIMARY KEY, c_name TEXT, c_mktsegment TEXT)")
+    e.load("c", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    e.execute("CREATE INDEX by_segment ON c (c_mktsegment)")
+    assert "IndexScan c using by_segment" in e.query("EXPLAIN SELECT * FROM c WHERE c_mktsegment = 'BUILDING'").plan
+    return e.query("SELECT c_custkey, c_name FROM c WHERE c_mktsegment = 'BUILDING'").frame
+
+
+CHANGES |= {
+    "constraint_violations": (_refused("INSERT INTO s VALUES (1, 'again', 0, 0)", "INSERT INTO s (s_name) VALUES (NULL)", "UPDATE s SET s_name = NULL WHERE s_suppkey = 2", "UPDATE s SET s_suppkey = 3"), SAME),
+    "txn_snapshot_after_vacuum": (_beside("BEGIN", "DELETE FROM s WHERE s_nationkey < 9; UPDATE s SET s_acctbal = 0; VACUUM"), SAME),
+    "txn_reopened": (_beside("DELETE FROM s WHERE s_nationkey < 9; BEGIN; DELETE FROM s", "VACUUM", "ROLLBACK"), f"{SAME} WHERE s_nationkey >= 9"),
+    "txn_ddl_rollback": (_beside("BEGIN; CREATE TABLE other (x INTEGER); CREATE INDEX i ON s (s_name); ROLLBACK", "CREATE TABLE other (y TEXT)"), SAME),
+    "vacuum_in_txn": (_swept, "SELECT count(*) FILTER (s_nationkey = 1) AS swept, 0::BIGINT AS again, count(*) FILTER (s_nationkey <> 1) AS rows_left FROM supplier"),
+    "scan_index_stored": (_indexed, "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
+}
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, _folder(spark))
     e.execute("CREATE TABLE b (x INTEGER); CREATE TABLE a (x INTEGER)")

@@ -86,11 +86,11 @@ class Engine:
     # --- statements ---------------------------------------------------------------------------------------------------
 
     def execute(self, sql: str) -> list[Outcome]:
-        """Runs statements in turn.  The first that fails ends it; what came before stays."""
+        """Outcomes of all statements of a text, in turn; an error keeps the effects of those before it."""
         return [self.run(s) for s in S.parse_many(sql)]
 
     def query(self, sql: str) -> Outcome:
-        """Runs exactly one statement."""
+        """The outcome of a text that holds one statement."""
         return self.run(S.parse(sql))
 
     def run(self, s) -> Outcome:
@@ -158,7 +158,7 @@ class Engine:
         if isinstance(s, S.Vacuum):
             return Outcome("affected", affected=changes.vacuum(self.store, [s.table] if s.table else sorted(self.store.open["tables"])))
         does = {S.Insert: changes.insert, S.Update: changes.update, S.Delete: changes.delete, S.CreateIndex: changes.create_index}
-        return Outcome("affected", affected=does[type(s)](self.store, s))
+        return Outcome("affected", affected=does[type(s)](self.store, s, *([self.strict_between] if isinstance(s, S.Update | S.Delete | S.Insert) else [])))
 
     def explain(self, s) -> str:
         """The compact tree of a statement."""
@@ -197,12 +197,12 @@ class Engine:
         """Names of the stored tables, in order."""
         return sorted(e["name"] for e in self.store.state()["tables"].values()) if self.store else []
 
-    def checkpoint(self) -> int:
-        """Deletes files that no kept manifest names; how many folders went."""
-        return self.store.checkpoint() if self.store else 0
+    def checkpoint(self, older_than: float = 0.0) -> int:
+        """Deletes files that no kept manifest names, if they are so many seconds old; how many folders went."""
+        return self.store.checkpoint(older_than) if self.store else 0
 
     def recovery_report(self) -> dict:
-        """What was found when the folder was opened."""
+        """The version opened, and what interrupted writers had left behind."""
         return dict(self.store.report) if self.store else {}
 
     def set_sort_budget(self, rows: int) -> None:

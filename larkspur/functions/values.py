@@ -69,14 +69,14 @@ def both(a: bool | None, b: bool | None) -> bool | None:
     return False if a is False or b is False else None if a is None or b is None else True
 
 
-def evaluate(e, row=None):
-    """``row`` is a function from (table, name) to a value."""
+def evaluate(e, row=None, strict_between: bool = False):
+    """``row`` is a function from (table, name) to a value; ``strict_between`` as in ``typed.lower``."""
     if isinstance(e, Const):
         return e.value
     if isinstance(e, Name):
         return row(e.table, e.name)
     assert isinstance(e, Op)
-    x = [evaluate(a, row) for a in e.args]
+    x = [evaluate(a, row, strict_between) for a in e.args]
     op, no = (e.op[4:], True) if e.op.startswith("NOT ") else (e.op, False)
     if op == "neg":
         return whole(-x[0]) if number(x[0]) and isinstance(x[0], int) else -x[0] if number(x[0]) else None
@@ -93,7 +93,7 @@ def evaluate(e, row=None):
         return negate(found) if no else found
     if op == "BETWEEN":
         low, high = compare(x[0], x[1]), compare(x[0], x[2])
-        found = both(None if low is None else low >= 0, None if high is None else high <= 0)
+        found = None if strict_between and None in (low, high) else both(None if low is None else low >= 0, None if high is None else high <= 0)
         return negate(found) if no else found
     if op in "+-*/%":
         return calculate(op, *x)

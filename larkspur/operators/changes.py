@@ -82,6 +82,8 @@ def create_index(store: Store, s: S.CreateIndex) -> int:
     if s.unique:
         _unique(store.rows(e), [columns])
     e["indexes"].append({"name": s.name, "columns": columns, "unique": s.unique})
+    if e["data"]:  # all versions again, with the index's Bloom filters; file by file, so their order stays
+        e["data"] = [store.write(e, store.versions(e))]
     return store.rows(e).count()
 
 
@@ -148,7 +150,7 @@ def _check_values(store: Store, e: dict, rows: list[tuple]) -> None:
             raise NotUnique(", ".join(columns))
 
 
-def insert(store: Store, s: S.Insert) -> int:
+def insert(store: Store, s: S.Insert, strict_between: bool = False) -> int:
     e, scope = store.entry(s.table), scope_of(store, s.table)
     columns = e["columns"]
     targets = [scope.resolve(S.Name(None, c)) for c in s.columns] or list(range(len(columns)))
@@ -159,7 +161,7 @@ def insert(store: Store, s: S.Insert) -> int:
     for r in s.rows:
         if len(r) != len(targets):
             raise SqlError(f"{len(r)} values for {len(targets)} columns", 0)
-        given = dict(zip(targets, map(evaluate, map(scope_free, r)), strict=True))
+        given = dict(zip(targets, (evaluate(scope_free(v), None, strict_between) for v in r), strict=True))
         row = [coerced(given[i], c) if i in given else _default(c) for i, c in enumerate(columns)]
         if key is not None and row[key] is None:
             row[key] = high + 1
@@ -193,7 +195,10 @@ def load(store: Store, table: str, frame: DataFrame) -> int:
     key = next((c["name"] for c in columns if c["primary"] and c["kind"] == "INTEGER"), None)
     # without a key, ids have gaps between tasks; they only need to differ and to grow
     rowid = F.col(f"`{key}`") if key else F.lit(e["high"] + 1).cast("long") + F.monotonically_increasing_id()
-    folder = store.write(e, frame.select(*out).select(rowid.alias("_rowid"), F.lit(store.txid).cast("long").alias("_xmin"), "*"))
+    rows = frame.select(*out).select(rowid.alias("_rowid"), F.lit(store.txid).cast("long").alias("_xmin"), "*")
+    if key:  # in key order, so that files and row groups hold ranges of keys and their statistics prune
+        rows = rows.repartitionByRange("_rowid").sortWithinPartitions("_rowid")
+    folder = store.write(e, rows)
     new = store.read(folder, store.schema(e))
     if _unique_keys(e) or any(c["not_null"] for c in columns):
         _check(store.rows(e), new, e)
@@ -209,27 +214,27 @@ def scope_free(e: S.Expr) -> S.Expr:
     return Scope().bind(e)
 
 
-def _matches(store: Store, e: dict, table: str, where: S.Expr | None):
+def _matches(store: Store, e: dict, table: str, where: S.Expr | None, strict_between: bool):
     """The rows a WHERE admits, with c<i> for the columns, _rowid and _xmin."""
     scope = scope_of(store, table)
     rows = store.rows(e)
     frame = rows.select("_rowid", "_xmin", *(F.col(f"`{c.name}`").alias(f"c{i}") for i, c in enumerate(scope.tables[0][1].columns)))
     name = resolver(numbered(rows, scope.tables[0][1], 0))
     if where is not None:
-        frame = frame.where(truth(lower(scope.bind(where), name)))
+        frame = frame.where(truth(lower(scope.bind(where), name, strict_between)))
     return scope, frame, name
 
 
-def update(store: Store, s: S.Update) -> int:
+def update(store: Store, s: S.Update, strict_between: bool = False) -> int:
     e = store.entry(s.table)
     columns = e["columns"]
-    scope, found, name = _matches(store, e, s.table, s.where)
+    scope, found, name = _matches(store, e, s.table, s.where, strict_between)
     sets: dict[int, Typed] = {}
     for c, value in s.sets:
         i = scope.resolve(S.Name(None, c))
         if i in sets:
             raise SqlError(f"{c} is set twice", 0)
-        sets[i] = lower(scope.bind(value), name)
+        sets[i] = lower(scope.bind(value), name, strict_between)
     out = []
     for i, c in enumerate(columns):
         if i not in sets:
@@ -261,9 +266,9 @@ def update(store: Store, s: S.Update) -> int:
     return n
 
 
-def delete(store: Store, s: S.Delete) -> int:
+def delete(store: Store, s: S.Delete, strict_between: bool = False) -> int:
     e = store.entry(s.table)
-    _, found, _ = _matches(store, e, s.table, s.where)
+    _, found, _ = _matches(store, e, s.table, s.where, strict_between)
     folder = store.write(e, found.select("_rowid", "_xmin", F.lit(store.txid).cast("long").alias("_xmax")))
     n = store.read(folder, store.schema(e, "_xmax")).count()
     if n:
@@ -272,21 +277,24 @@ def delete(store: Store, s: S.Delete) -> int:
 
 
 def vacuum(store: Store, names: list[str]) -> int:
-    """Rewrites tables without dead versions, in row order; counts versions and index entries that nothing shows."""
+    """Rewrites tables without dead versions, in row order; counts the versions and the index entries that nothing
+    shows any more.  Dead is what transactions before this one removed: its own removals may yet be rolled back.  Files
+    that are replaced stay for readers of older states, until a checkpoint."""
     total = 0
     for name in names:
         e = store.entry(name)
-        if not e["tombs"]:
+        tombs = store.tombs(e)
+        mine = F.col("_xmax") >= store.txid
+        dead = tombs.where(~mine)
+        if not e["tombs"] or dead.isEmpty():
             continue
-        live, every = store.rows(e), store.versions(e)
-        total += every.join(store.tombs(e), ["_rowid", "_xmin"], "left_semi").count()
+        every = store.versions(e)
+        kept = every.join(dead, ["_rowid", "_xmin"], "left_anti")
+        total += every.join(dead, ["_rowid", "_xmin"], "left_semi").count()
         for columns in [i["columns"] for i in e["indexes"]]:
-            entry = ["_rowid", *columns]
-            pick = [F.col(f"`{c}`") for c in entry]
-            total += every.select(*pick).distinct().exceptAll(live.select(*pick).distinct()).count()
-        folder = store.write(e, live.repartitionByRange("_rowid").sortWithinPartitions("_rowid"))
-        store.unneeded += [*e["data"], *e["tombs"]]
-        e["data"], e["tombs"] = [folder], []
+            pick = [F.col(f"`{c}`") for c in ("_rowid", *columns)]
+            total += every.select(*pick).distinct().exceptAll(kept.select(*pick).distinct()).count()
+        folder = store.write(e, kept.repartitionByRange("_rowid").sortWithinPartitions("_rowid"))
+        e["tombs"] = [] if tombs.where(mine).isEmpty() else [store.write(e, tombs.where(mine))]
+        e["data"] = [folder]
     return total
-
-

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.typed import Typed, kind_of, lower, truth
 from ..plans.binding import Query, Table
@@ -44,7 +45,7 @@ def sort_key(o: Order, name: Callable[[Name], Typed]):
 
 
 def run(q: Query, frame_of: Callable[[Table], DataFrame], ordered: bool = False, strict_between: bool = False) -> DataFrame:
-    """The query's rows.  ``ordered``: also in row order where the query itself names none (one table, no DISTINCT)."""
+    """The query's rows.  ``ordered``: also in row order where the query itself names none (one table, or DISTINCT)."""
     frame: DataFrame | None = None
     for i, (_, table, first) in enumerate(q.scope.tables):
         one = numbered(frame_of(table), table, first)
@@ -78,14 +79,11 @@ def run(q: Query, frame_of: Callable[[Table], DataFrame], ordered: bool = False,
             frame = frame.orderBy(*every) if len(every) == len(q.scope.tables) else frame
         frame = frame.select(*outs)
     else:
-        shown = {str(e): f"o{i}" for i, (_, e) in enumerate(q.outputs)}
-        if all(str(o.expr) in shown for o in order):
-            frame = frame.select(*outs).distinct()
-            marks = [(F.col(shown[str(o.expr)]), o.desc) for o in order]
-        else:
-            frame, marks = first_seen(frame, outs, order, name)
+        every = [c for c in frame.columns if c[0] == "r"]
+        placed = (order or cut or ordered) and len(every) == len(q.scope.tables)
+        frame, marks = first_seen(frame, outs, order, name, every if placed else [])
         if marks:
-            frame = frame.orderBy(*(c.desc_nulls_last() if d else c.asc_nulls_first() for c, d in marks))
+            frame = frame.orderBy(*marks)
         elif cut:
             frame = frame.orderBy(*(F.col(f"o{i}") for i in range(len(outs))))  # some order, the same every time
         frame = frame.select(*(F.col(f"o{i}") for i in range(len(outs))))
@@ -96,15 +94,23 @@ def run(q: Query, frame_of: Callable[[Table], DataFrame], ordered: bool = False,
     return frame.toDF(*(n for n, _ in q.outputs))
 
 
-def first_seen(frame: DataFrame, outs, order: list[Order], name) -> tuple[DataFrame, list]:
-    """DISTINCT rows sorted by columns that they don't show: each stands where the first of its copies would."""
+def first_seen(frame: DataFrame, outs, order: list[Order], name, rowids: list[str]) -> tuple[DataFrame, list]:
+    """DISTINCT rows, and what sorts them: each stands where the first of its copies would, by the keys of ORDER BY
+    (shown or not) and then in row order."""
     keys = [lower(o.expr, name).column.alias(f"k{i}") for i, o in enumerate(order)]
-    frame = frame.select(*outs, *keys)
-    ways, names = {o.desc for o in order}, [f"o{i}" for i in range(len(outs))]
-    if len(ways) == 1:  # one way for all keys: a map-side aggregate finds the first
-        first = (F.max if ways == {True} else F.min)(F.struct(*(f"k{i}" for i in range(len(order))))).alias("k")
-        out = frame.groupBy(*names).agg(first)
-        return out, [(F.col(f"k.k{i}"), o.desc) for i, o in enumerate(order)]
-    by = [F.col(f"k{i}").desc_nulls_last() if o.desc else F.col(f"k{i}").asc_nulls_first() for i, o in enumerate(order)]
-    out = frame.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*by))).where("_n = 1")
-    return out, [(F.col(f"k{i}"), o.desc) for i, o in enumerate(order)]
+    names, places = [f"o{i}" for i in range(len(outs))], [f"k{i}" for i in range(len(order))]
+    if not keys and not rowids:
+        return frame.select(*outs).distinct(), []
+    frame = frame.select(*outs, *keys, *rowids)
+    ways, whole = {o.desc for o in order}, all(isinstance(frame.schema[r].dataType, T.IntegralType) for r in rowids)
+    by = [F.col(k).desc_nulls_last() if o.desc else F.col(k).asc_nulls_first() for k, o in zip(places, order, strict=True)]
+    # where all keys go one way a map-side aggregate finds the first, else a window
+    if True not in ways or ways == {True} and whole:
+        down = ways == {True}
+        turned = lambda c: F.bitwise_not(c) if down else c
+        rank = [*places, *(turned(F.col(r)).alias(r) for r in rowids)]
+        out = frame.groupBy(*names).agg((F.max if down else F.min)(F.struct(*rank)).alias("f"))
+        out = out.select(*names, *(F.col(f"f.{k}").alias(k) for k in places), *(turned(F.col(f"f.{r}")).alias(r) for r in rowids))
+    else:
+        out = frame.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*by, *rowids))).where("_n = 1")
+    return out, [*by, *(F.col(r) for r in rowids)]

@@ -7,6 +7,7 @@ by a rename that fails likewise.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -58,6 +59,7 @@ class Folder:
             finally:
                 os.unlink(f"{self.local}/{temp}")
             self._sync(f"{self.local}/{folder}")
+            self._sync(self.local)
             return True
         out = self.fs.create(self._path(temp), False)
         out.write(bytearray(text.encode()))
@@ -82,6 +84,9 @@ class Folder:
             for f in os.listdir(top):
                 self._sync(f"{top}/{f}")
             self._sync(top)
+            while top != self.local:  # the folders that name it
+                top = os.path.dirname(top)
+                self._sync(top)
 
     @staticmethod
     def _sync(path: str) -> None:
@@ -91,5 +96,14 @@ class Folder:
         finally:
             os.close(fd)
 
+    def age(self, name: str) -> float:
+        """Seconds since a file, or the youngest file of a folder, was written; 0 if it is gone."""
+        p = self._path(name)
+        try:
+            youngest = max((s.getModificationTime() for s in self.fs.listStatus(p)), default=0) or self.fs.getFileStatus(p).getModificationTime()
+        except Exception:  # others may delete it meanwhile
+            return 0.0
+        return time.time() - youngest / 1000
+
     def delete(self, name: str) -> bool:
         return self.fs.delete(self._path(name), True)

@@ -3,7 +3,8 @@
 A manifest holds the whole catalog: columns, indexes, each table's data files (``_rowid``, ``_xmin`` and the columns) and
 tombstones (``_rowid``, ``_xmin``, ``_xmax``), the next transaction id and each table's row-id high-water mark.  A commit
 writes files, then publishes the next manifest, which fails if another writer took its number.  What no manifest names
-was never committed.  A snapshot is a manifest, so readers see one state however long they run.
+was never committed.  A snapshot is a manifest, so readers see one state however long they run: files that it names
+stay until a checkpoint, KEPT states later.
 """
 
 from __future__ import annotations
@@ -25,46 +26,43 @@ LOG = "_log"
 KEPT = 10
 
 
-def visible(xmin: int, xmax: int, seen) -> bool:
-    """Whether a version shows: its writer is seen to have finished, and nobody seen to have finished removed it."""
-    return seen(xmin) and not (xmax != 0 and seen(xmax))
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.folder = spark, Folder(spark, path)
-        self.version, self.manifest, bad = 0, {"next": 1, "tables": {}}, 0
-        for name in reversed([n for n in self.folder.names(LOG) if n.endswith(".json")]):
-            try:
-                self.manifest = json.loads(self.folder.read(f"{LOG}/{name}"))
-                self.version = int(name.removesuffix(".json"))
-                break
-            except ValueError:
-                bad += 1
-        else:
-            if bad:
-                raise CorruptStore(f"none of {bad} manifests can be read")
+        self.version, self.manifest = 0, {"next": 1, "tables": {}}
+        if names := self._manifests():
+            self.manifest, self.version = self._read(names[-1]), int(names[-1].removesuffix(".json"))
         known = {f for t in self.manifest["tables"].values() for f in (*t["data"], *t["tombs"])}
         stray = sum(f"{top}/{d}" not in known for top in self.manifest["tables"] for d in self.folder.names(top))
         temps = sum(n.endswith(".tmp") for n in self.folder.names(LOG))
-        self.report = {"version": self.version, "unreadable_manifests": bad, "unfinished_manifests": temps, "uncommitted_folders": stray}
+        self.report = {"version": self.version, "unfinished_manifests": temps, "uncommitted_folders": stray}
         self.open: dict | None = None  # the state that a transaction has made so far
         self.staged: list[str] = []
-        self.unneeded: list[str] = []
 
     # --- states -------------------------------------------------------------------------------------------------------
 
+    def _manifests(self) -> list[str]:
+        return [n for n in self.folder.names(LOG) if n.endswith(".json")]
+
+    def _read(self, name: str) -> dict:
+        """A manifest is published whole, so one that can't be read was damaged later.  An older one is no substitute:
+        what was committed since would silently be gone."""
+        try:
+            return json.loads(self.folder.read(f"{LOG}/{name}"))
+        except ValueError as e:
+            raise CorruptStore(f"{LOG}/{name} can't be read: {e}") from e
+
     def refresh(self) -> None:
         """Sees what others have committed."""
-        names = [n for n in self.folder.names(LOG) if n.endswith(".json")]
+        names = self._manifests()
         if names and (newest := int(names[-1].removesuffix(".json"))) > self.version:
-            self.manifest, self.version = json.loads(self.folder.read(f"{LOG}/{names[-1]}")), newest
+            self.manifest, self.version = self._read(names[-1]), newest
 
     def begin(self) -> None:
         self.refresh()
         self.open = copy.deepcopy(self.manifest)
         self.open["next"] += 1
-        self.staged, self.unneeded = [], []
+        self.staged = []
 
     @property
     def txid(self) -> int:
@@ -83,8 +81,8 @@ class Store:
         if not self.folder.publish(f"{LOG}/{self.version + 1:020d}.json", json.dumps(state)):
             self._drop(self.staged)
             raise CommitConflict(f"another writer committed version {self.version + 1}")
+        # files that this state no longer names stay for those who read an older one, until a checkpoint
         self.manifest, self.version = state, self.version + 1
-        self._drop(self.unneeded)
 
     def rollback(self) -> None:
         self.open = None
@@ -97,23 +95,25 @@ class Store:
 
     def mark(self) -> tuple:
         """To undo a statement that fails within a transaction."""
-        return copy.deepcopy(self.open), len(self.staged), len(self.unneeded)
+        return copy.deepcopy(self.open), len(self.staged)
 
     def undo(self, mark: tuple) -> None:
-        self.open, n, m = mark
+        self.open, n = mark
         gone = self.staged[n:]
-        del self.staged[n:], self.unneeded[m:]
+        del self.staged[n:]
         self._drop(gone)
 
-    def checkpoint(self) -> int:
-        """Deletes old manifests, and folders that neither a kept manifest nor the open transaction names."""
-        names = [n for n in self.folder.names(LOG) if n.endswith(".json")]
-        kept = names[-KEPT:]
-        for n in names[:-KEPT]:
+    def checkpoint(self, older_than: float = 0.0) -> int:
+        """Deletes old manifests, and folders that neither a kept manifest nor the open transaction names, if nothing was
+        written to them for ``older_than`` seconds: longer than any reader or writer elsewhere takes."""
+        names = self._manifests()
+        kept = [n for i, n in enumerate(names) if i >= len(names) - KEPT or self.folder.age(f"{LOG}/{n}") < older_than]
+        states = [self._read(n) for n in kept] + [s for s in (self.open, self.manifest) if s]
+        used = {f for s in states for t in s["tables"].values() for f in (*t["data"], *t["tombs"])} | set(self.staged)
+        gone = [f"{t}/{d}" for t in {t for s in states for t in s["tables"]} for d in self.folder.names(t) if f"{t}/{d}" not in used]
+        gone = [f for f in gone if self.folder.age(f) >= older_than]
+        for n in set(names) - set(kept):
             self.folder.delete(f"{LOG}/{n}")
-        states = [json.loads(self.folder.read(f"{LOG}/{n}")) for n in kept] + ([self.open] if self.open else [])
-        used = {f for s in states for t in s["tables"].values() for f in (*t["data"], *t["tombs"])}
-        gone = [f"{t}/{d}" for t in {t for s in states for t in s["tables"]} for d in self.folder.names(t) if f"{t}/{d}" not in used and f"{t}/{d}" not in self.staged]
         n = len(gone)
         self._drop(gone)
         return n
@@ -160,9 +160,13 @@ class Store:
         return self.versions(e).join(self.tombs(e), ["_rowid", "_xmin"], "left_anti") if e["tombs"] else self.versions(e)
 
     def write(self, e: dict, frame: DataFrame) -> str:
-        """Stages a folder of files; the caller names it in the state."""
+        """Stages a folder of files; the caller names it in the state.  An indexed column gets a Bloom filter for each
+        row group, so a scan for one of its values skips those that lack it."""
         name = f"{e['name'].lower()}/{uuid.uuid4().hex}"
-        frame.write.parquet(self.folder.at(name))
+        writer = frame.write
+        for column in {c for i in e["indexes"] for c in i["columns"] if c in frame.columns}:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(self.folder.at(name))
         self.staged.append(name)
         return name
 
