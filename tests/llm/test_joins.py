@@ -122,6 +122,23 @@ def test_hot_lists_give_the_same_groups(spark, monkeypatch, hot):
     assert sorted(map(tuple, ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute_groups(rows)
 
 
+def test_templates_just_below_the_threshold_meet_nowhere(spark, monkeypatch):
+    """Documents of 103 shared and 13 own shingles (0.798): they share all of 103 lists, and no pair is compared."""
+    compared = []
+    real = ngram_join.compare
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "compare", counting)
+    common = " ".join(f"c{i}" for i in range(107))
+    rows = [(i, f"{common} " + " ".join(f"x{i}_{j}" for j in range(13))) for i in range(3000)]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(i, 116, i) for i in range(3000)]
+    assert sum(compared) < 3000
+
+
 def test_no_rows_and_only_empty_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert ngram_join.similar_groups(docs.limit(0)).collect() == []
@@ -150,7 +167,27 @@ def test_boundary_weighs_costs():
     assert ngram_join.boundary({}, (4, 5)) == 0
     assert ngram_join.boundary({3: 100}, (4, 5)) >= 3
     assert ngram_join.boundary({12: 10**6}, (4, 5)) < 12
-    assert math.comb(4, 2) == 6
+    # nothing but cost ends the search: sets of 4 words more cost less as lists of subsets, however large x becomes
+    assert ngram_join.boundary({2: 10**6, 24: 1, 60: 10**4}, (4, 5)) >= 2
+    r, t = random.Random(4), (4, 5)
+    for _ in range(60):
+        sizes = {r.randrange(1, r.choice([8, 40])): r.randrange(1, 2000) for _ in range(r.randrange(1, 9))}
+
+        def cost(x, sizes=sizes):
+            light = sum(c * sum(math.comb(n, ngram_join.need(n, m, t)) for m in ngram_join.partners(n, t) if m <= x) for n, c in sizes.items() if n <= x)
+            return light + sum(c * ngram_join.posted(n, t) * ngram_join.COMPARISON for n, c in sizes.items() if 5 * n > 4 * x)
+
+        assert cost(ngram_join.boundary(sizes, t)) == min(map(cost, range(max(sizes) * 5 // 4 + 2)))
+
+
+def test_classes_that_share_a_name_are_named_anew(spark, monkeypatch):
+    """With names of 6 bits many clash, until a seed is found for which none do."""
+    rows = [(i, t) for i, t in enumerate(near_copies(random.Random(3), 150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seeds = []
+    made = ngram_join.postings
+    monkeypatch.setattr(ngram_join, "postings", lambda r, s, x, n, t, seed: (seeds.append(seed), made(r, s, x, n, t, seed).withColumn("class", ngram_join.F.expr("class & 63") if seed < 2 else ngram_join.F.col("class")))[1])
+    assert sorted(map(tuple, ngram_join.similar_groups(docs).collect()), key=str) == brute_groups(rows) and seeds == [0, 1, 2]
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------
