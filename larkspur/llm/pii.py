@@ -7,11 +7,12 @@ spans that meet no base span.
 
 A span of any kind must hold a digit or an at sign, plain or in brackets, so only windows around such characters that no
 base span covers are decoded; elsewhere the constraint leaves the tag O.  Windows overlap, cover whole texts, and are
-reconciled for the whole text: a span cut by a window's edge counts only from a window that shows it whole, and of those
-that overlap the set with the largest sum of confidences stays.
+reconciled for the whole text: a span cut by a window's edge counts only from a window that shows it whole (wider ones
+are decoded until one does), and of those that overlap the set with the largest sum of confidences stays.
 
-Null text counts as empty and has no spans.  Positions are code points, ends exclusive.  Repeated rows give repeated
-results; ``redact`` keeps extra columns.
+Null text counts as empty and has no spans.  Positions are code points, ends exclusive.  An empty table gives an empty
+result.  Very long texts are worked on whole.  Repeated rows give repeated results; of overlapping spans with equal
+confidence the first stays.  ``find`` ignores extra columns, ``redact`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NON_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]", re.I)
 WINDOW, LAP, AROUND = 96, 48, 40
-CONFIDENT = 0.9
+#: A window is widened up to this: an address has 254 characters at most, and disguise some more.
+LONGEST = 1536
+CONFIDENT = 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -95,9 +98,10 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def symbols(windows: list[str]) -> np.ndarray:
+def symbols(windows: list[str], width: int = 0) -> np.ndarray:
     """Codes of the characters, each window filled up with blanks."""
-    raw = np.frombuffer("".join(w.ljust(WINDOW) for w in windows).encode("utf-32-le"), "<u4").reshape(len(windows), WINDOW)
+    width = width or WINDOW
+    raw = np.frombuffer("".join(w.ljust(width) for w in windows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(windows), width)
     return np.where(raw < 128, CODES[np.minimum(raw, 127)], VOCABULARY - 1)
 
 
@@ -114,15 +118,22 @@ def samples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
         return d + next(c for c in "0123456789" if luhn(d + c))
 
     def email() -> str:
-        name, host = one(word() + digit(2), word() + one(".", "_") + word(), word()), one("mail", "post", word()) + one("", digit(1))
-        at, dot = one((one(" (at) ", "(at)", " [at] ", "[at]", " {at} "), one(" (dot) ", "(dot)", " [dot] ", "[dot]", " {dot} ", ".")), ("@", "."), (" @ ", "."))
+        some = "".join(one(*"abcdefghijklmnopqrstuvwxyz") for _ in range(one(5, 9, 14, 22, 40)))
+        some = one(str, str.upper, str.capitalize)(some)
+        name, host = one(some, str.capitalize(word()), word() + "+" + word(), word() + digit(2), word() + one(".", "_") + word(), word(), one(".", "-", "_", "", "").join(word() for _ in range(rng.integers(3, 12)))), one("mail", "post", word(), word() + "-" + word()) + one("", digit(1))
+        at, dot = one((one(" (at) ", "(at)", " [at] ", "[at]", " {at} ", " [ at ] "), one(" (dot) ", "(dot)", " [dot] ", "[dot]", " {dot} ", ".")), ("@", "."), (" @ ", "."))
         return name + at + host + dot + one("", "example" + dot) + one("com", "org", "net", "de", "fr")
 
     def ip() -> str:
-        return one(".", ".", "[.]", "(.)").join(str(rng.integers(0, 256)) for _ in range(4))
+        return one(".", ".", "[.]", "(.)", "{.}", " . ").join(str(rng.integers(0, 256)) for _ in range(4))
 
     def phone() -> str:
         a, b, c = digit(3), digit(3), digit(4)
+        if rng.random() < 0.35:  # a trunk or country prefix and groups of any size
+            parts = [one("0", "00") + digit(one(2, 3)), *(digit(one(2, 2, 3, 4, 5)) for _ in range(one(2, 3, 4)))]
+            text = one(" / ", "/", " ", "-", ") ").join(parts[:2]) + (sep := one(" ", "-", " ")) + sep.join(parts[2:])
+            text = "(" + text if ")" in text else text
+            return text if 9 <= sum(map(str.isdigit, text)) <= 15 else phone()
         return one(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digit(1)} ({a}) {b}-{c}", f"00{digit(2)} {a} {b} {c}", f"({a}) {b} {c}", f"0{digit(2)}/{digit(7)}")
 
     def dotted_card() -> str:
@@ -138,7 +149,7 @@ def samples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     for _ in range(n):
         text, spans = "", []
         while len(text) < WINDOW:
-            text += " ".join(one(str.capitalize, str)(word()) + one("", "", "", "", ",", ".") for _ in range(rng.integers(1, 7))) + one(" ", " ", "\n", ": ")
+            text += " ".join(one("{}", "{}", "{}", "{}", "({})", '"{}"', "[{}]").format(one(str.capitalize, str, str, str.upper)(word())) + one("", "", "", "", ",", ".") for _ in range(rng.integers(1, 7))) + one(" ", " ", "\n", ": ")
             if rng.random() < 0.5:
                 kind = int(rng.integers(4))
                 value = makers[kind]()
@@ -273,11 +284,21 @@ def tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
+def lesson(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window of a line: from any place outside its spans, as long as windows are, or to another such place, as at the
+    end of a text."""
+    free = [0, *(k for k in range(1, len(text)) if not any(a < k < b for a, _, b in spans)), len(text)]
+    start = 0 if rng.random() < 0.3 else int(free[rng.integers(len(free) // 2)])
+    ends = [k for k in free if start < k <= start + WINDOW]
+    end = start + WINDOW if rng.random() < 0.4 or not ends else int(ends[rng.integers(len(ends) // 2, len(ends))])
+    return text[start:end], [(a - start, kind, b - start) for a, kind, b in spans if a >= start and a < end]
+
+
 @lru_cache(maxsize=2)
-def trained(n: int = 1500, epochs: int = 9, batch: int = 32, rate: float = 0.012, seed: int = 5) -> Tagger:
+def trained(n: int = 3000, epochs: int = 9, batch: int = 32, rate: float = 0.012, seed: int = 5) -> Tagger:
     """Trains on ``n`` generated lines with Adam; the same model every time."""
     model, rng = Tagger(), np.random.default_rng(seed)
-    lines = samples(n, seed)
+    lines = [lesson(*line, rng) for line in samples(n, seed)]
     codes, tags = symbols([t[:WINDOW] for t, _ in lines]), np.stack([tagged(*x) for x in lines])
     first, second, k = {x: np.zeros_like(v) for x, v in model.p.items()}, {x: np.zeros_like(v) for x, v in model.p.items()}, 0
     for epoch in range(epochs):
@@ -301,7 +322,7 @@ def valid(kind: int, value: str) -> bool:
     """What an added span must hold, whatever the model says."""
     d = NON_DIGIT.sub("", value)
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[({] ?at ?[\])}]) ?[\w-]+(?: ?(?:\.|[\[({] ?(?:dot|\.) ?[\])}]) ?[\w-]+)+", value, re.I | re.A))
+        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[({] ?at ?[\])}]) ?[\w-]+(?: ?(?:\.|[\[({] ?(?:dot|\.) ?[\])}]) ?[\w-]+)+", value, re.I))
     if kind == 1:
         return bool(m := re.fullmatch(r"(\d+)\W+(\d+)\W+(\d+)\W+(\d+)", value, re.A)) and all(map(small, m.groups()))
     if kind == 2:
@@ -363,33 +384,54 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def decoded(model: Tagger, texts: list[str], part: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, float]], list[tuple[int, int, int]]]:
+    """Spans (text, start, kind, end, confidence) that windows (text, start, end) of about one length show whole, and
+    those (text, start, end) that a window's edge cuts."""
+    width = max(WINDOW, max(b - a for _, a, b in part))
+    e = model.emissions(symbols([texts[i][a:b] for i, a, b in part], width), "float32")[0].astype("float64")
+    path, sure = model.decode(e), model.marginals(e)[0]
+    out, cut = [], []
+    for r, (i, a, b) in enumerate(part):
+        tags, at, n = path[r], 0, b - a
+        while at < n:
+            if (tag := tags[at]) % 2 == 0:
+                at += 1
+                continue
+            end = at + 1
+            while end < n and tags[end] == tag + 1:
+                end += 1
+            if (at > 0 or a == 0) and (end < n or b == len(texts[i])):
+                out.append((i, a + at, int(tag) // 2, a + end, float(sure[np.arange(at, end), r, tags[at:end]].mean())))
+            else:
+                cut.append((i, a + at, a + end))
+            at = end
+    return out, cut
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], batch: int = 256) -> list[list[tuple[int, int, int]]]:
-    """The model's spans of each text that meet no base span."""
+    """The model's spans of each text that meet no base span.  Where a window cuts a span that no other window shows
+    whole, a window twice as wide around it is decoded, and so on, up to LONGEST characters."""
     windows = [(i, a, b) for i, (t, s) in enumerate(zip(texts, base, strict=True)) for a, b in places(t, s)]
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    for k in range(0, len(windows), batch):
-        part = windows[k : k + batch]
-        e = model.emissions(symbols([texts[i][a:b] for i, a, b in part]), "float32")[0].astype("float64")
-        path, sure = model.decode(e), model.marginals(e)[0]
-        for r, (i, a, b) in enumerate(part):
-            tags, at, n = path[r], 0, b - a
-            while at < n:
-                if (tag := tags[at]) % 2 == 0:
-                    at += 1
-                    continue
-                end = at + 1
-                while end < n and tags[end] == tag + 1:
-                    end += 1
-                whole = (at > 0 or a == 0) and (end < n or b == len(texts[i]))
-                c = float(sure[np.arange(at, end), r, tags[at:end]].mean())
-                if whole and c >= CONFIDENT:
-                    start, stop = a + at, a + end
-                    while stop > start and texts[i][stop - 1] in " .,;:\n":
-                        stop -= 1
-                    alone = (start == 0 or not texts[i][start - 1].isalnum()) and (stop == len(texts[i]) or not texts[i][stop].isalnum())
-                    if alone and valid(tag // 2, texts[i][start:stop]):
-                        found[i].append((start, int(tag) // 2, stop, c))
-                at = end
+    width = WINDOW
+    while windows:
+        cut = []
+        step = max(1, batch * WINDOW // width)
+        for k in range(0, len(windows), step):
+            whole, broken = decoded(model, texts, windows[k : k + step])
+            cut += broken
+            for i, start, kind, stop, c in whole:
+                text = texts[i]
+                while stop > start and text[stop - 1] in " .,;:\n":
+                    stop -= 1
+                if start > 0 and text[start - 1].isalnum() or stop < len(text) and text[stop].isalnum():
+                    cut.append((i, start, stop))  # something of it lies outside
+                elif c >= CONFIDENT and valid(kind, text[start:stop]):
+                    found[i].append((start, kind, stop, c))
+        cut = [(i, a, b) for i, a, b in cut if not any(x < b and a < y for x, _, y, _ in found[i])]
+        width *= 2
+        around = {(i, max(0, (a + b) // 2 - width // 2), min(len(texts[i]), (a + b) // 2 + width // 2)) for i, a, b in cut}
+        windows = sorted(around) if width <= LONGEST else []
     out = []
     for spans, known in zip(found, base, strict=True):
         known = merged([(a, b) for a, _, b in known])
