@@ -7,10 +7,13 @@ in the features.
 
 Fitting: at most ``Fit.rows`` labelled texts, the first by a hash of their ids, give their features on the executors;
 the driver keeps the ``Fit.terms`` hashed terms that tell the classes apart best (half the G
-statistic above ``Fit.gain``, at least ``Fit.least`` texts) and fits with Adagrad in numpy.  Scoring is one pass over all texts, without a shuffle.
+statistic above ``Fit.gain``, at least ``Fit.least`` texts), and those of the ``Fit.pair_terms`` most frequent ones that
+tell ``Fit.pair_gain`` more beside another than either does alone; it fits with Adagrad in numpy.  Scoring is one pass over all texts, without a shuffle.
 
-Null and empty texts have no features and score like the intercept.  Rows whose label is null are not learned from; if
-labels disagree or repeat, each row counts.  Without labelled rows every score is 0.  Extra columns are ignored.
+Null and empty texts have no features and score like the intercept.  Very long texts are taken whole: each term counts
+once.  Rows whose label is null are not learned from; if labels disagree or repeat, each row counts.  Ties in the order of
+terms go to the lower bucket.  Without labelled rows every score is 0; an empty table gives an empty result.  Extra
+columns are kept by ``score``, whose own are named by ``out``.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ class Fit:
     terms: int = 2048
     least: int = 3
     gain: float = 8.0
+    pair_terms: int = 512
+    pair_gain: float = 20.0
     factors: int = 8
     epochs: int = 30
     batch: int = 256
@@ -118,8 +123,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Fit = Fit()) -> Machine
             return np.where(seen > 0, seen * np.log(seen / total), 0.0)
 
     score = g(hits, every * pos / n) + g(every - hits, every * (n - pos) / n) + g(pos - hits, (n - every) * pos / n) + g(n - pos - every + hits, (n - every) * (n - pos) / n)
-    best = np.sort(np.argsort(-score, kind="stable")[: how.terms])
-    terms = some[best[score[best] > how.gain]].astype("int32")
+    best = np.argsort(-score, kind="stable")[: how.terms]
+    best = best[score[best] > how.gain]
+
+    # frequent terms that tell nothing alone, but much beside another
+    often = np.sort(np.argsort(-every, kind="stable")[: how.pair_terms])
+    there = np.zeros((len(rows), len(often)), "float32")
+    for row, r in zip(there, rows, strict=True):
+        row[np.isin(some[often], r, assume_unique=True)] = 1
+    both, toxic = there.T @ there, there[labels == 1].T @ there[labels == 1]
+    both, toxic = both.astype(float), toxic.astype(float)
+    pair = g(toxic, both * pos / n) + g(both - toxic, both * (n - pos) / n) + g(pos - toxic, (n - both) * pos / n) + g(n - pos - both + toxic, (n - both) * (n - pos) / n)
+    alone = np.maximum(score[often][:, None], score[often][None])
+    tells = (pair > alone + how.pair_gain) & (both >= how.least) & ~np.eye(len(often), dtype=bool)
+    best = np.union1d(best, often[tells.any(1)]).astype(int)
+    terms = some[best].astype("int32")
     rng = np.random.default_rng(how.seed)
     model = Machine(float(np.log(pos / (n - pos))), terms, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), how.factors)), how.bits)
     x = [model.index(r) for r in rows]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -47,6 +48,35 @@ def test_pairs_of_terms_are_learned():
     assert (got == (np.array(labels[2500:]) == 1)).mean() > 0.98
 
 
+def test_pair_sums_in_linear_time_equal_all_pairs():
+    r = np.random.default_rng(3)
+    model = toxicity.Machine(-0.4, np.arange(0, 300, 3, dtype="int32"), r.normal(size=100), r.normal(size=(100, 8)), 16)
+    rows = [np.sort(r.choice(100, n, replace=False)) for n in (0, 1, 2, 7, 40, 100)]
+    for row, got in zip(rows, model.raw(rows), strict=True):
+        want = -0.4 + sum(model.w[i] for i in row) + sum(model.v[i] @ model.v[j] for k, i in enumerate(row) for j in row[:k])
+        assert abs(got - want) < 1e-9 * max(1, abs(want)) + 1e-9
+    buckets = np.array([0, 1, 3, 4, 297, 299], "int32")
+    assert list(model.index(buckets)) == [0, 1, 99]
+    got = model.scores([buckets])[0]
+    raw = -0.4 + sum(model.w[i] for i in (0, 1, 99)) + sum(model.v[i] @ model.v[j] for i, j in ((0, 1), (0, 99), (1, 99)))
+    assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
+def test_terms_that_tell_only_in_pairs(spark):
+    """With the production parameters: each of two words is as common among toxic texts as among others."""
+    r, h = random.Random(4), toxicity.Hasher(20)
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [word(r) for _ in range(6)] + ["alpha"] * a + ["omega"] * b
+        r.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(float(a == b))
+    rows = [h.buckets(t) for t in texts]
+    model = toxicity.fit(rows[:3200], np.array(labels[:3200]))
+    assert ((model.scores(rows[3200:]) >= 0.5) == (np.array(labels[3200:]) == 1)).mean() > 0.9
+
+
 def toxic_tables(spark):
     r = random.Random(2)
     docs = [(i, " ".join(["stupid", "fool"] * (i % 4 == 0) + [word(r) for _ in range(20)]), "x", 5) for i in range(600)]
@@ -116,12 +146,89 @@ def test_rare_languages_are_learned(spark):
     assert set(fewer.langs) == {"aa", "ru", "el"}
 
 
-def test_long_texts_are_counted_whole(monkeypatch):
-    text = "one two three " * 200
+@pytest.mark.parametrize("step", [1, 2, 7, 300])
+def test_long_texts_are_counted_whole(monkeypatch, step):
+    text = "Ünter één  two-three\n\nÄÖ 4 and more, " * 40
     whole = language_id.counts(text, 512)
-    monkeypatch.setattr(language_id, "STEP_BYTES", 300)
-    parts = language_id.counts(text, 512)
-    assert np.abs(whole - parts).sum() <= 0.02 * whole.sum()
+    monkeypatch.setattr(language_id, "STEP_BYTES", step)
+    assert np.array_equal(whole, language_id.counts(text, 512))
+
+
+def plain_grams(text):
+    """n-grams of 1 to 3 bytes, by plain loops."""
+    raw, out = b" ", []
+    for c in text.lower().encode():
+        if c >= 0x80 or chr(c).isalpha():
+            raw += bytes([c])
+        elif raw[-1:] != b" ":
+            raw += b" "
+    raw += b" " if raw[-1:] != b" " else b""
+    for n in (1, 2, 3):
+        out += [raw[k : k + n] for k in range(len(raw) - n + 1)]
+    return out
+
+
+def plain_place(gram, dims):
+    value = {1: 0, 2: 1 << 16, 3: 1 << 26}[len(gram)]
+    number = 0
+    for c in gram:
+        number = (number * 257 + c) % 2**32
+    x = (number + value) * 2654435761 % 2**32
+    return (x ^ (x >> 15)) % dims
+
+
+def test_predictions_equal_plain_tf_idf():
+    """Counts, weights, cosines and rejection by dictionaries and loops, given the centroids."""
+    from collections import Counter
+    from math import log, sqrt
+
+    r, dims = random.Random(12), 1 << 13
+    texts, langs = [], []
+    for k in range(160):
+        langs.append(("xx", "yy")[k % 2])
+        texts.append(" ".join(word(r, ("abcdeé", "efghij")[k % 2]).capitalize() for _ in range(r.choice([1, 5, 40]))))
+    tf = []
+    for t in texts:
+        c = language_id.counts(t, dims)
+        assert Counter({p: int(c[p]) for p in np.flatnonzero(c)}) == Counter(plain_place(g, dims) for g in plain_grams(t))
+        tf.append((np.flatnonzero(c), c[np.flatnonzero(c)]))
+    model = language_id.fit(tf, langs)
+    holds = Counter(p for t in texts for p in {plain_place(g, dims) for g in plain_grams(t)})
+    for p, n in holds.items():
+        assert abs(model.idf[p] - (log((1 + len(texts)) / (1 + n)) + 1)) < 1e-5
+    for t in [*texts[:30], "zzz QQ vv", "12 34", "ab" * 3000]:
+        lang, score, bad = (x[0] for x in model.predict([t], dims))
+        vector = {p: log(1 + n) * float(model.idf[p]) for p, n in Counter(plain_place(g, dims) for g in plain_grams(t)).items()}
+        size = sqrt(sum(v * v for v in vector.values()))
+        cos = [sum(v * float(c[p]) for p, v in vector.items()) / size for c in model.centroids]
+        if not any(c.isalpha() for c in t):
+            assert (lang, score, bad) == ("und", 0, True)
+            continue
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        assert abs(score - cos[best]) < 1e-4 and (lang == model.langs[best] or sorted(cos)[-1] - sorted(cos)[-2] < 1e-5)
+        floor = model.floors[best][min(len(vector).bit_length() - 1, language_id.LENGTHS - 1)]
+        assert bad == (cos[best] < floor) or abs(cos[best] - floor) < 1e-4
+
+
+FOREIGN = [
+    "SELECT o_orderkey, sum(l_price) FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_date < DATE '1995-01-01' GROUP BY 1 ORDER BY 2 DESC LIMIT 10;",
+    "import numpy as np\ndef f(x):\n    for k in range(len(x)):\n        yield np.sqrt(x[k] @ x[k])\nprint(list(f(np.eye(3))))",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。", "qzx kjw vpl mxq zzkt bwqp xjvk qqpz lkjh gfds mnbv",
+]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="the driver's tables are not here")
+def test_rejection_acts_and_keeps_what_is_known(spark):
+    """Of held-out documents under 1 % are rejected; texts in no learned language are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.learn(docs, language_id.not_held_out)
+    known = docs.where(held_out(F.col("doc_id"))).where("lang is not null and text rlike '[A-Za-z]'")
+    share = language_id.identify(known, model).agg(F.avg(F.col("_rejected").cast("double"))).first()[0]
+    assert share < 0.01
+    _, score, bad = model.predict(FOREIGN, language_id.Fit().dims)
+    assert bad.all(), (score, bad)
 
 
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
