@@ -15,8 +15,9 @@ a list of runs: documents of a length from one rank to another lie ``per`` to a
 of runs depends on the capacity alone.  Ranks within a length come from buckets by hash, so a length that a third of all
 rows have is numbered by many tasks.
 
-Null text counts as empty and gives one piece, the end id.  Repeated rows are packed like any others.  An empty table
-gives an empty result.  Extra columns are ignored.
+Null text counts as empty and gives one piece, the end id.  Very long texts are encoded in overlapping chunks and cut
+into as many pieces as they need.  Repeated rows are packed like any others; rows that tie in length are placed by doc_id,
+piece and start.  An empty table gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def plan(histogram: dict[int, int], capacity: int, large: int, groups: int) -> P
         out.sequences = n
     big = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if capacity / large < x < capacity]
     total = sum(n for _, n in big)
-    if total >= 4 * groups:
+    if groups := min(groups, total):  # a group holds a document at least
         queues: list[list[list[int]]] = []
         left = 0
         for x, n in big:

@@ -10,7 +10,11 @@ products are exact.  A task holds one block, queries stream by, and each block r
 Vectors that are null or hold null or non-finite components take no part.  Shorter vectors count as filled up with
 zeros.  Rows that repeat both id and vector are one row; of other rows that share an id the best score counts, once a
 query; a query never meets rows with its own id.  Ties go to the
-smaller id.  Scores beyond 64 bits saturate.  Null ids take no part.  An empty table gives an empty result.
+smaller id.  Scores beyond 64 bits saturate.  Null ids take no part.  An empty table gives an empty result.  Extra columns
+are ignored, whatever their names.
+
+Cost: a block of fixed size is shuffled once, and a copy of each query to every block that its threshold reaches: with
+lengths that differ few, with vectors of one length all of them, as in any exact search; larger blocks make fewer copies.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SCALE, K, EVERY = 1024, 10, 100
-#: Rows of a block, blocks at most, rows of the head, rows that are compared at once.
-BLOCK_ROWS, BLOCKS, HEAD_ROWS, CHUNK = 8192, 16_384, 4096, 2048
+#: Bytes of a block (its vectors and their rotated ones), however large the table; rows that a block has at least, if the
+#: bytes allow, so that small tables still make a block for each core; rows of the head; rows that are compared at once.
+BLOCK_BYTES, BLOCK_ROWS, HEAD_ROWS, CHUNK = 32 << 20, 4096, 4096, 2048
 #: Queries that meet a block at once.
 QUERIES = 256
 #: Rotated places after which candidates are pruned, as shares of all places.
@@ -161,10 +166,10 @@ def search(df: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, id
         return C.empty(spark, "query_id long, rank int, vec_id long, score long")
     dims, longest = max(dims, 1), max(longest, 1.0)
     turn = rotation(vectors, dims, longest)
-    rows = max(BLOCK_ROWS, -(-n // BLOCKS))
+    rows = min(max(1, BLOCK_BYTES // (16 * dims)), max(BLOCK_ROWS, n // (2 * spark.sparkContext.defaultParallelism)))
     blocks = vectors.repartitionByRange(-(-n // rows), F.desc("norm"), "vec_id").withColumn("block", F.spark_partition_id())
     blocks = C.materialise(blocks, "blocks")
-    tops = sorted((r.block, r.top) for r in blocks.groupBy("block").agg(F.max("norm").alias("top")).collect())  # BLOCKS rows at most
+    tops = sorted((r.block, r.top) for r in blocks.groupBy("block").agg(F.max("norm").alias("top")).collect())  # a row a block
     names, top = np.array([b for b, _ in tops]), np.array([t for _, t in tops])
     # the longest vectors are in the first block
     head = blocks.where(F.col("block") == tops[0][0]).orderBy(F.desc("norm"), "vec_id").limit(HEAD_ROWS).collect()  # HEAD_ROWS rows

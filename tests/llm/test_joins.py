@@ -215,7 +215,7 @@ def brute_top(rows, every=100, k=10, scale=1024):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_top_k_equals_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 50 * 16 * 12)
     monkeypatch.setattr(topk, "HEAD_ROWS", 30)
     monkeypatch.setattr(topk, "CHUNK", 16)
     monkeypatch.setattr(topk, "QUERIES", 3)
@@ -225,6 +225,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, seed):
     assert sorted(map(tuple, topk.search(df, every=40, k=3).collect())) == brute_top(rows, 40, 3)
 
 
+def test_top_k_of_one_length_over_many_blocks(spark, monkeypatch):
+    """Equal lengths prune nothing: more blocks than the head holds, and every query meets them all."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 40 * 16 * 8)
+    monkeypatch.setattr(topk, "HEAD_ROWS", 60)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(s) for s in r.choice([-1, 1], 8)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.search(df).collect())) == brute_top(rows)
+
+
 def test_top_k_of_large_numbers_and_few_rows(spark):
     rows = [(100, [1e9, 3.0]), (200, [-1e9, 2.5]), (7, [1e9, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
