@@ -6,15 +6,19 @@ case, marks and white space folded, punctuation dropped) and hashed.  A message
 lines and every run of lines under such hashes.  Of the runs only those are hashed that start with the first line of a
 passage and have as many lines as it (blank ones aside), so no message makes all of its runs.  Originals are aggregated
 to the earliest message of each hash, in a conversation and over all, before quotes are joined to them.  A quote is linked to the earliest message of its own conversation that offers
-it, else to the earliest of all, but only to messages before its own by (conv_id, turn).  A message replies to what its
-outermost linked passage comes from (first of equal level), else to the turn before it.
+it, else, if it has ACROSS_WORDS words or more, to the earliest of all ("Yes." in two conversations says nothing of them),
+but only to messages before its own by (conv_id, turn).  A message replies to what its outermost linked passage comes
+from (first of equal level), else to the turn before it.
 
 Conversations that quote one another become one, named by the least conv_id.  (conv_id, turn) is an order in which every
-message follows what it replies to; ``position`` counts from 0 along it.  A conversation of any size is numbered by
-many tasks.
+message follows what it replies to; ``position`` counts from 0 along it.  A conversation of any size, merged from however
+many, is numbered by many tasks: by spans of turns, and sums over ranges of spans.  Everything up to the positions is
+worked out on hashes; texts are parsed again at the end and move once.
 
 Null text counts as empty.  Rows with a null conv_id or turn are returned without conversation, position and reply, and
-are no originals.  Messages that share conv_id and turn keep an order by text.  Extra columns are ignored.
+are no originals.  Messages that share conv_id and turn keep an order by a hash of their text; repeated rows are numbered
+one by one.  Very long texts are parsed whole.  An empty table gives an empty result.  Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ INTRODUCES = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escri
 FOLD = re.compile(r"[\W_]+")
 #: Turns that one task numbers.
 SPAN = 4096
+#: Words of a passage that may link to another conversation.
+ACROSS_WORDS = 4
 
 
 def normalised(text: str) -> str:
@@ -101,79 +107,120 @@ def runs(own: str, wanted: dict[int, list[int]]) -> set[int]:
     return out
 
 
+def mark(text: str) -> int:
+    """Tells apart the texts of messages that share conv_id and turn."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
 def offered_runs(messages: DataFrame, offers: DataFrame, quotes: DataFrame) -> DataFrame:
     """(conv_id, turn, hash) of the runs of lines that passages of two lines and more ask for."""
     wanted = quotes.where("lines > 1").groupBy(F.col("lead").alias("hash")).agg(F.collect_set("lines").alias("lengths"))  # lengths, however many quotes
     asked = offers.join(wanted, "hash").groupBy("conv_id", "turn").agg(F.collect_set(F.struct("hash", "lengths")).alias("wanted"))
-    held = messages.select("conv_id", "turn", "own").join(asked, ["conv_id", "turn"])
+    held = messages.join(asked, ["conv_id", "turn"])
 
     def step():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [runs(o, {w["hash"]: w["lengths"] for w in ws}) for o, ws in zip(C.texts_of(batch, "own"), C.column(batch, "wanted").to_pylist(), strict=True)]
+            found = [runs(parse(t or "")[0], {w["hash"]: w["lengths"] for w in ws}) for t, ws in zip(C.texts_of(batch), C.column(batch, "wanted").to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([C.column(batch, "conv_id"), C.column(batch, "turn"), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], names=["conv_id", "turn", "offers"])
 
         return one
 
-    return C.by_slice(held, step, "conv_id long, turn long, offers array<long>", "own").select("conv_id", "turn", F.explode("offers").alias("hash"))
+    return C.by_slice(held, step, "conv_id long, turn long, offers array<long>").select("conv_id", "turn", F.explode("offers").alias("hash"))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, text, own, offers, quotes) of each message."""
+    """(conv_id, turn, mark, offers, quotes) of each message: hashes alone."""
 
     def step():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in C.texts_of(batch)]
             found = [parse(t) for t in texts]
-            own = pa.array([o for o, _ in found], pa.string())
             offers = pa.array([offered(o) for o, _ in found], pa.list_(pa.int64()))
             split = [[(n, fingerprint(q), lines_of(q)) for n, q in qs] for _, qs in found]
-            quotes = [[{"level": n, "hash": f, "lead": fingerprint(x[0]), "lines": len(x)} for n, f, x in qs if f is not None] for qs in split]
-            quotes = pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("lead", pa.int64()), ("lines", pa.int32())])))
-            return pa.RecordBatch.from_arrays([C.column(batch, "conv_id"), C.column(batch, "turn"), own, offers, quotes], names=["conv_id", "turn", "own", "offers", "quotes"])
+            quotes = [[{"level": n, "hash": f, "lead": fingerprint(x[0]), "lines": len(x), "words": sum(len(y.split()) for y in x)} for n, f, x in qs if f is not None] for qs in split]
+            quotes = pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("lead", pa.int64()), ("lines", pa.int32()), ("words", pa.int32())])))
+            return pa.RecordBatch.from_arrays([C.column(batch, "conv_id"), C.column(batch, "turn"), pa.array([mark(t) for t in texts], pa.int64()), offers, quotes], names=["conv_id", "turn", "mark", "offers", "quotes"])
+
+        return one
+
+    return C.by_slice(messages, step, "conv_id long, turn long, mark long, offers array<long>, quotes array<struct<level:int,hash:long,lead:long,lines:int,words:int>>")
+
+
+def own_texts(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, mark, own, n_quotes, max_level) of each message."""
+
+    def step():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [t or "" for t in C.texts_of(batch)]
+            found = [(o, [n for n, q in qs if fingerprint(q) is not None]) for o, qs in map(parse, texts)]
+            cols = [pa.array([mark(t) for t in texts], pa.int64()), pa.array([o for o, _ in found], pa.string()), pa.array([len(n) for _, n in found], pa.int32()), pa.array([max(n, default=0) for _, n in found], pa.int32())]
+            return pa.RecordBatch.from_arrays([C.column(batch, "conv_id"), C.column(batch, "turn"), *cols], names=["conv_id", "turn", "mark", "own", "n_quotes", "max_level"])
 
         return one
 
-    return C.by_slice(messages, step, "conv_id long, turn long, own string, offers array<long>, quotes array<struct<level:int,hash:long,lead:long,lines:int>>")
+    return C.by_slice(messages, step, "conv_id long, turn long, mark long, own string, n_quotes int, max_level int")
+
+
+def rows_before(spans: DataFrame) -> DataFrame:
+    """``spans`` (conversation_id, conv_id, span, n, ...) with the rows of their conversation that come before them.
+
+    Sums run over ranges of all spans in order; what lies before a range is told by a sum a range, and what lies before
+    a conversation is the least of its spans' sums.  So no task has all spans of a conversation."""
+    order = ["conversation_id", "conv_id", "span"]
+    dealt = C.materialise(spans.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "spans")
+    sums, before = sorted((r["range"], r.n) for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).collect()), 0  # a row a task
+    starts = []
+    for k, n in sums:
+        starts.append((k, before))
+        before += n
+    starts = F.broadcast(dealt.sparkSession.createDataFrame(starts, "range int, start long"))  # a row a task
+    inside = Window.partitionBy("range").orderBy(*order)
+    whole = dealt.withColumn("upto", F.sum("n").over(inside) - F.col("n")).join(starts, "range").withColumn("upto", F.col("upto") + F.col("start")).drop("start", "range")
+    first = whole.groupBy("conversation_id").agg(F.min("upto").alias("first"))
+    return whole.join(first, "conversation_id").withColumn("before", F.col("upto") - F.col("first")).drop("upto", "first")
 
 
 @C.shipped
 def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conversation_id, position, conv_id, turn, reply_conv, reply_turn, n_quotes, n_linked, max_level, text of each message."""
     messages = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))
-    every = C.materialise(parsed(messages), "messages")
     whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    offers = every.where(whole).select("conv_id", "turn", F.explode("offers").alias("hash"))
-    quotes = every.where(whole).select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"), F.col("q.lead").alias("lead"), F.col("q.lines").alias("lines"))
+    every = C.materialise(parsed(messages.where(whole)), "messages")
+    offers = every.select("conv_id", "turn", F.explode("offers").alias("hash"))
+    quotes = every.select("conv_id", "turn", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "at", "q.level", "q.hash", "q.lead", "q.lines", "q.words")
     quotes = C.materialise(quotes, "quotes")
     wanted = quotes.select("hash").distinct()  # offers that nobody quotes aren't aggregated
-    offers = offers.unionByName(offered_runs(every.where(whole), offers, quotes)).join(wanted, "hash", "left_semi")
+    offers = offers.unionByName(offered_runs(messages.where(whole), offers, quotes)).join(wanted, "hash", "left_semi")
     here = offers.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
     first = here.groupBy("hash").agg(F.min(F.struct("conv_id", "here")).alias("first"))
     # one original a hash, so a passage that everybody quotes joins one row
     found = quotes.join(here, ["conv_id", "hash"], "left").join(first, "hash", "left")
     near = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn")))
-    far = F.when(F.col("first.conv_id") < F.col("conv_id"), F.struct(F.col("first.conv_id").alias("conv_id"), F.col("first.here").alias("turn")))
+    far = F.when((F.col("first.conv_id") < F.col("conv_id")) & (F.col("words") >= ACROSS_WORDS), F.struct(F.col("first.conv_id").alias("conv_id"), F.col("first.here").alias("turn")))
     found = found.withColumn("to", F.coalesce(near, far))
     replies = found.groupBy("conv_id", "turn").agg(F.count("to").alias("n_linked"), F.min(F.when(F.col("to").isNotNull(), F.struct("level", "at", "to"))).alias("best"))
     replies = C.materialise(replies.select("conv_id", "turn", "n_linked", F.col("best.to.conv_id").alias("quoted_conv"), F.col("best.to.turn").alias("quoted_turn")), "replies")
     across = replies.where("quoted_conv <> conv_id").select("conv_id", "quoted_conv")
     groups = components(across, "conv_id", "quoted_conv").select(F.col("node").alias("conv_id"), F.col("component").alias("conversation_id"))
-    rows = every.withColumn("n_quotes", F.size("quotes")).withColumn("max_level", F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0))).drop("offers", "quotes")
-    rows = rows.join(replies, ["conv_id", "turn"], "left").join(groups, "conv_id", "left")
-    rows = rows.withColumn("conversation_id", F.when(whole, F.coalesce("conversation_id", "conv_id"))).withColumn("span", F.floor(F.col("turn") / SPAN))
-    # positions: rows before the conversation's part, rows before the span, rows before it in the span
-    rows = C.materialise(rows, "rows")
-    spans = rows.where(whole).groupBy("conversation_id", "conv_id", "span").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
-    order = Window.partitionBy("conversation_id").orderBy("conv_id", "span")
-    spans = spans.select("conv_id", "span", (F.sum("n").over(order) - F.col("n")).alias("before"), F.lag("last").over(Window.partitionBy("conv_id").orderBy("span")).alias("last"))
-    inside = Window.partitionBy("conv_id", "span").orderBy("turn", "own")
+    # positions: rows before the span in the conversation, rows before the message in the span
+    nodes = every.groupBy("conv_id", "turn", "mark").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("turn") / SPAN))
+    spans = nodes.groupBy("conv_id", "span").agg(F.sum("n").alias("n"), F.max("turn").alias("last"))
+    spans = spans.withColumn("last", F.lag("last").over(Window.partitionBy("conv_id").orderBy("span")))
+    spans = spans.join(groups, "conv_id", "left").withColumn("conversation_id", F.coalesce("conversation_id", "conv_id"))
+    inside = Window.partitionBy("conv_id", "span").orderBy("turn", "mark")
     earlier = F.max("turn").over(Window.partitionBy("conv_id", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    placed = rows.where(whole).withColumn("at", F.row_number().over(inside) - 1).withColumn("earlier", earlier).join(spans, ["conv_id", "span"])
+    placed = nodes.withColumn("at", F.sum("n").over(inside) - F.col("n")).withColumn("earlier", earlier).join(rows_before(spans).drop("n"), ["conv_id", "span"])
+    placed = placed.join(replies, ["conv_id", "turn"], "left")
     turn = F.coalesce("quoted_turn", "earlier", "last")
-    placed = placed.select("conversation_id", (F.col("before") + F.col("at")).alias("position"), "conv_id", "turn", F.coalesce("quoted_conv", F.when(turn.isNotNull(), F.col("conv_id"))).alias("reply_conv"), turn.alias("reply_turn"), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "max_level", F.col("own").alias("text"))
+    placed = placed.select("conversation_id", (F.col("before") + F.col("at")).alias("position"), "conv_id", "turn", "mark", F.coalesce("quoted_conv", F.when(turn.isNotNull(), F.col("conv_id"))).alias("reply_conv"), turn.alias("reply_turn"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+    key = ["conv_id", "turn", "mark"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("n_quotes")) - 1  # rows of one key are equal
+    texts = own_texts(messages)
+    out = texts.where(whole).withColumn("number", number).join(C.materialise(placed, "placed").hint("merge"), key)
+    out = out.select("conversation_id", (F.col("position") + F.col("number")).alias("position"), "conv_id", "turn", "reply_conv", "reply_turn", "n_quotes", "n_linked", "max_level", F.col("own").alias("text"))
     none = F.lit(None).cast("long")
-    apart = rows.where(~whole).select(none.alias("conversation_id"), none.alias("position"), "conv_id", "turn", none.alias("reply_conv"), none.alias("reply_turn"), "n_quotes", F.lit(0).cast("long").alias("n_linked"), "max_level", F.col("own").alias("text"))
-    return placed.unionByName(apart)
+    apart = texts.where(~whole).select(none.alias("conversation_id"), none.alias("position"), "conv_id", "turn", none.alias("reply_conv"), none.alias("reply_turn"), "n_quotes", F.lit(0).cast("long").alias("n_linked"), "max_level", F.col("own").alias("text"))
+    return out.unionByName(apart)
 
 
 def op1_quotation_linking(spark, sf_dir):

@@ -344,28 +344,70 @@ def test_parsing_of_nested_quotes():
     assert quotations.fingerprint("Hello,  World!") == quotations.fingerprint("hello\nworld") and quotations.fingerprint("?!") is None
 
 
+def plain(text):
+    """Letters and digits in words, lower-cased."""
+    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+
+
+def plain_parse(text):
+    """Own text and (level, passage) pairs, character by character."""
+    own, quotes, before = [], [], 0
+    for line in text.split("\n"):
+        level, at = 0, 0
+        for k, c in enumerate(line):
+            if c == ">":
+                level, at = level + 1, k + 1
+            elif c not in " \t":
+                break
+        rest = line[at:].strip()
+        if not level:
+            own.append(line)
+        elif rest and before == level:
+            quotes[-1][1].append(rest)
+        elif rest:
+            quotes.append((level, [rest]))
+        before = level if rest else 0
+    text = "\n".join(own)
+    while "\n\n\n" in text:
+        text = text.replace("\n\n\n", "\n\n")
+    return text.strip("\n"), [(n, "\n".join(q)) for n, q in quotes if plain("\n".join(q))]
+
+
 def brute_thread(rows):
-    """The same by plain loops: parent and own text of each message."""
-    messages = [(c, t, *quotations.parse(x or "")) for c, t, x in rows]
+    """The same by plain loops over texts, none of it through the module: parent, conversation, position, numbers of
+    quotes and links, own text of each message.  A passage is offered by whom its words, line by line, are a run of."""
+    messages = [(c, t, *plain_parse(x or ""), x or "") for c, t, x in rows]
+
+    def offers(own, passage):
+        want, have = [x for x in map(plain, passage.split("\n")) if x], [x for x in map(plain, own.split("\n")) if x]
+        whole = " ".join(want)
+        pieces = [plain(own), *(plain(p) for p in own.split("\n\n")), *have]
+        return whole in pieces or any(have[k : k + len(want)] == want for k in range(len(have) - len(want) + 1))
+
+    found, joined = {}, []
+    for c, t, _, quotes, _ in messages:
+        if c is None or t is None:
+            continue
+        for at, (level, q) in enumerate(quotes):
+            places = sorted((c2, t2) for c2, t2, own2, _, _ in messages if c2 is not None and t2 is not None and offers(own2, q))
+            here = [o for o in places if o[0] == c][:1]
+            far = places and places[0][0] < c and len(plain(q).split()) >= quotations.ACROSS_WORDS
+            to = here[0] if here and here[0][1] < t else places[0] if far else None
+            found.setdefault((c, t), []).append((to is None, level, at, to))
+            if to and to[0] != c:
+                joined.append((c, to[0]))
+    # of messages that share conv_id and turn, links count together, and the best of all makes the reply
+    across = [(c, min(x)[3][0]) for (c, _), x in found.items() if min(x)[3] and min(x)[3][0] != c]
+    name = groups_of({c for c, t, *_ in messages if c is not None and t is not None}, across)
     out = []
-    for c, t, own, quotes in messages:
+    for c, t, own, quotes, raw in messages:
         if c is None or t is None:
-            out.append((c, t, None, None, own))
+            out.append((None, c, t, None, None, len(quotes), 0, max([n for n, _ in quotes], default=0), own))
             continue
-        best = None
-        for at, (level, q) in enumerate((n, q) for n, q in quotes if quotations.fingerprint(q) is not None):
-            f = quotations.fingerprint(q)
-            offers = sorted((c2, t2) for c2, t2, own2, _ in messages if c2 is not None and t2 is not None and f in quotations.offered(own2))
-            here = [o for o in offers if o[0] == c][:1]
-            to = here[0] if here and here[0][1] < t else offers[0] if offers and offers[0][0] < c else None
-            if to and (best is None or (level, at) < best[:2]):
-                best = (level, at, to)
-        if best:
-            parent = best[2]
-        else:
-            before = [t2 for c2, t2, _, _ in messages if c2 == c and t2 is not None and t2 < t]
-            parent = (c, max(before)) if before else (None, None)
-        out.append((c, t, *parent, own))
+        some = found.get((c, t), [])
+        before = [t2 for c2, t2, *_ in messages if c2 == c and t2 is not None and t2 < t]
+        parent = min(some)[3] if some and min(some)[3] else (c, max(before)) if before else (None, None)
+        out.append((name[c], c, t, *parent, len(quotes), sum(x[3] is not None for x in some), max([n for n, _ in quotes], default=0), own))
     return sorted(out, key=str)
 
 
@@ -381,7 +423,7 @@ def thread_rows(seed):
                 text = "\n".join(mark + q for q in quote) + "\n" + text
             said.append(quotations.parse(text)[0])
             rows.append((c, t * 5000 if c == 3 else t, text))
-    return rows + [(3, None, "> x"), (None, 1, "y"), (40, 0, None), (41, 0, ""), (41, 0, "twice"), (42, 0, "> unknown\n" + "long " * 20_000)]
+    return rows + [(3, None, "> x"), (None, 1, "y"), (40, 0, None), (41, 0, ""), (41, 0, "twice"), (41, 0, "twice"), (41, 0, "twice"), (41, 1, "> Yes\nOk"), (43, 0, "Yes"), (44, 0, "> yes!\nToo short to link afar"), (42, 0, "> unknown\n" + "long " * 20_000)]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -389,7 +431,7 @@ def test_quotations(spark, seed):
     rows = thread_rows(seed)
     frame = spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("*", "'u' AS role", "1 AS position")
     got = quotations.link(frame).collect()
-    assert sorted(((g.conv_id, g.turn, g.reply_conv, g.reply_turn, g.text) for g in got), key=str) == brute_thread(rows)
+    assert sorted(((g.conversation_id, g.conv_id, g.turn, g.reply_conv, g.reply_turn, g.n_quotes, g.n_linked, g.max_level, g.text) for g in got), key=str) == brute_thread(rows)
     whole = [g for g in got if g.conv_id is not None and g.turn is not None]
     by = defaultdict(list)
     for g in whole:
