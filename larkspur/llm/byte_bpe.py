@@ -30,7 +30,7 @@ from . import common as C
 from .token_counts import byte_table
 
 #: Matches whose ids a worker remembers, and their characters.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 
 
 class Codec:

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 SLICE_ROWS = 512
 #: Characters of text that one Python step looks at, however many rows they are.
 SLICE_CHARS = 4_000_000
-#: Rows and bytes of an Arrow batch at most.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
+#: Rows and bytes of an Arrow batch at most, and rows that the Parquet reader holds at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
 #: Bits of a filter of ids (2 to this power): 8 MB, however many ids there are.
 FILTER_BITS = 26
 
@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package's code to the executors, once a session, so that they need no copy of their own, and keeps
-    Arrow batches small: texts are long, and two tasks share an executor's memory with their workers."""
+    batches small (for the whole session): texts are long, and tasks share an executor's memory with their workers."""
     context = spark.sparkContext
     for name, most in BATCH.items():
         now = spark.conf.get(name)

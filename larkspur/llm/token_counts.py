@@ -39,7 +39,7 @@ from . import common as C
 
 CHUNK, OVERLAP, EDGE = 16_384, 256, 32
 #: Words whose ids a worker remembers (the first that it meets, so the frequent ones are among them), and their bytes.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+MEMO_WORDS, MEMO_BYTES = 250_000, 64
 #: Marks at the end of a word: the pre-tokenizer parts them from ASCII letters before them.
 MARKS = b".,;:!?"
 #: Words that the library encodes in one call.

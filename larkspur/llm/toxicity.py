@@ -33,7 +33,7 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 #: Letters of the stems that count as terms beside whole words, so that an inflected insult is known again.
 STEMS = (4, 5)
 #: Hashed terms whose buckets a worker remembers.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 60_000
 
 
 @dataclass(frozen=True)
