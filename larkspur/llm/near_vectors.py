@@ -1,9 +1,10 @@
 """Near-duplicate vectors by sorted projection passes (operator 7).
 
 Each pass hashes every vector to the signs of its products with random directions, concatenated to one number, sorts all
-vectors by it and compares each with the next ``window`` ones, across task boundaries too.  Pairs whose cosine (double
-precision) reaches the threshold join; the passes' pairs together give components.  A task passes on a spanning forest
-of its pairs.
+vectors by it and compares each with the next ``window`` ones, across task boundaries too.  What is sorted are vectors
+rounded to a byte a component, with the length of what rounding took away: most pairs it decides, and those that lie
+nearer to the threshold than it may be off are verified by whole vectors in double precision.  The pairs of all passes
+give components.  A task passes on a spanning forest of its sure pairs, and the others that no tree joins.
 
 Vectors of equal direction are joined by a hash first, and only one of them (of the least id) takes part in the passes:
 copies fill no windows.  Passes and window grow with the number of those that take part (``extent``), so that a pair at
@@ -16,7 +17,8 @@ that stream by; only counts leave a task.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing: 0 links, their own component, kept.
 Shorter vectors count as filled up with zeros.  Rows that share an id are one node of the graph, but each counts as a
-vector.  A null id links with nothing; its component is null and it is not kept.
+vector; repeated rows do too.  A null id links with nothing; its component is null and it is not kept.  An empty table
+gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,17 +113,36 @@ class Forest:
         return a != b
 
 
-def close(ids: np.ndarray, passes: np.ndarray, x: np.ndarray, window: int, least: float, forest: Forest, new: int = 0) -> list[tuple[int, int]]:
-    """Pairs at most ``window`` apart, of one pass, that reach ``least`` and join trees; the later one from row ``new`` on."""
+def rough(x: np.ndarray) -> list[bytes]:
+    """Vectors of length one in a byte a component, after their scale and the length of what rounding took away."""
+    scale = np.abs(x).max(axis=1, keepdims=True) / 127
+    whole = np.rint(x / scale).astype("int8")
+    lost = np.linalg.norm(x - whole * scale.astype("<f4").astype("float64"), axis=1)
+    head = np.stack([scale[:, 0].astype("<f4"), np.nextafter(lost.astype("<f4"), np.float32(np.inf))], 1)
+    return [h.tobytes() + w.tobytes() for h, w in zip(head, whole, strict=True)]
+
+
+def from_rough(rows: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as far as they are known, and how far off they may be."""
+    raw = np.frombuffer(b"".join(rows), "uint8").reshape(len(rows), 8 + dims)
+    head = raw[:, :8].copy().view("<f4").astype("float64")
+    return raw[:, 8:].view("int8") * head[:, :1], head[:, 1]
+
+
+def close(ids: np.ndarray, passes: np.ndarray, x: np.ndarray, off: np.ndarray, window: int, least: float, forest: Forest, new: int = 0) -> list[tuple[int, int, bool]]:
+    """Pairs at most ``window`` apart, of one pass, that join trees; the later one from row ``new`` on.  Those that surely
+    reach ``least`` (true) join them; those that may reach it (false) are still to be verified."""
     out = []
     for d in range(1, min(window, len(ids) - 1) + 1):
         start = max(0, new - d)
-        near = np.einsum("nd,nd->n", x[start:-d], x[start + d :]) >= least
-        near &= (passes[start:-d] == passes[start + d :]) & (ids[start:-d] != ids[start + d :])
+        cos = np.einsum("nd,nd->n", x[start:-d], x[start + d :])
+        slack = off[start:-d] + (1 + off[start:-d]) * off[start + d :] + 1e-9
+        near = (cos + slack >= least) & (passes[start:-d] == passes[start + d :]) & (ids[start:-d] != ids[start + d :])
         for i in start + np.flatnonzero(near):
             a, b = int(ids[i]), int(ids[i + d])
-            if forest.joins(a, b):
-                out.append((min(a, b), max(a, b)))
+            sure = bool(cos[i - start] - slack[i - start] >= least)
+            if forest.joins(a, b) if sure else forest.root(a) != forest.root(b):
+                out.append((min(a, b), max(a, b), sure))
     return out
 
 
@@ -139,7 +160,23 @@ def without_copies(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 def linked_pairs(rows: DataFrame, dims: int, least: float, passes: int, window: int) -> DataFrame:
     """(a, b): verified pairs of all passes, enough to connect all that were found."""
     parts = [_passes(rows, dims, least, range(p, min(p + AT_ONCE, passes)), window) for p in range(0, passes, AT_ONCE)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    found = functools.reduce(DataFrame.unionByName, parts)
+    return found.where("sure").select("a", "b").unionByName(verified(found.where("not sure").select("a", "b").distinct(), rows, dims, least))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, dims: int, least: float) -> DataFrame:
+    """Of pairs (a, b) those that reach ``least``, by their whole vectors."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                x, y = (unpack(C.column(part, c).to_pylist(), dims) for c in ("va", "vb"))
+                keep = pa.array(np.einsum("nd,nd->n", x, y) >= least)
+                yield pa.RecordBatch.from_arrays([C.column(part, "a").filter(keep), C.column(part, "b").filter(keep)], names=["a", "b"])
+
+    side = lambda i, v: rows.select(F.col("vec_id").alias(i), F.col("v").alias(v))
+    return pairs.join(side("a", "va"), "a").join(side("b", "vb"), "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
 def _passes(rows: DataFrame, dims: int, least: float, passes: range, window: int) -> DataFrame:
@@ -152,19 +189,21 @@ def _passes(rows: DataFrame, dims: int, least: float, passes: range, window: int
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 x, ids = unpack(C.column(part, "v").to_pylist(), dims), C.column(part, "vec_id").to_numpy()
+                small = pa.array(rough(x), pa.binary())
                 for p in passes:
                     key = (x @ directions[p] > 0).astype("int64") @ power
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), p, "int16")), pa.array(key), C.column(part, "vec_id"), C.column(part, "v")], names=["pass", "key", "vec_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), p, "int16")), pa.array(key), C.column(part, "vec_id"), small], names=["pass", "key", "vec_id", "v"])
 
     order = ["pass", "key", F.xxhash64("vec_id", "pass")]  # ties in another order in each pass
     placed = rows.select("vec_id", "v").mapInArrow(hashed, "pass short, key long, vec_id long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "a long, b long, edge int, side byte, at int, pass short, v binary"
+    schema = "a long, b long, sure boolean, edge int, side byte, at int, pass short, v binary"
 
     def batch(pairs, ends):
-        a, b = [p[0] for p in pairs] + [e[0] for e in ends], [p[1] for p in pairs] + [None] * len(ends)
+        a = [p[0] for p in pairs] + [e[0] for e in ends]
+        b, sure = ([p[k] for p in pairs] + [None] * len(ends) for k in (1, 2))
         rest = [[None] * len(pairs) + [e[k] for e in ends] for k in range(1, 6)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int16(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([a, b, *rest], kinds, strict=True)], names=["a", "b", "edge", "side", "at", "pass", "v"])
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int8(), pa.int32(), pa.int16(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([a, b, sure, *rest], kinds, strict=True)], names=["a", "b", "sure", "edge", "side", "at", "pass", "v"])
 
     def slide(batches):
         from pyspark import TaskContext
@@ -175,7 +214,7 @@ def _passes(rows: DataFrame, dims: int, least: float, passes: range, window: int
                 now = list(zip(*(C.column(b.slice(at, 4096), c).to_pylist() for c in ("vec_id", "pass", "v")), strict=True))
                 head += now[: window - len(head)]
                 some = tail + now
-                pairs = close(np.array([r[0] for r in some]), np.array([r[1] for r in some]), unpack([r[2] for r in some], dims), window, least, forest, len(tail))
+                pairs = close(np.array([r[0] for r in some]), np.array([r[1] for r in some]), *from_rough([r[2] for r in some], dims), window, least, forest, len(tail))
                 tail = some[-window:]
                 yield batch(pairs, [])
         yield batch([], [(i, me, 0, k, p, v) for k, (i, p, v) in enumerate(tail)] + [(i, me - 1, 1, k, p, v) for k, (i, p, v) in enumerate(head)])
@@ -187,7 +226,7 @@ def _passes(rows: DataFrame, dims: int, least: float, passes: range, window: int
         forest, key, some = Forest(), None, []
 
         def pairs():
-            return close(np.array([r[0] for r in some]), np.array([r[1] for r in some]), unpack([r[2] for r in some], dims), window, least, forest) if some else []
+            return close(np.array([r[0] for r in some]), np.array([r[1] for r in some]), *from_rough([r[2] for r in some], dims), window, least, forest) if some else []
 
         for b in batches:
             out = []
@@ -199,7 +238,7 @@ def _passes(rows: DataFrame, dims: int, least: float, passes: range, window: int
             yield batch(out, [])
         yield batch(pairs(), [])
 
-    return found.where("edge is null").unionByName(ends.mapInArrow(across, schema).where("edge is null")).select("a", "b")
+    return found.where("edge is null").unionByName(ends.mapInArrow(across, schema).where("edge is null")).select("a", "b", "sure")
 
 
 def _streamed(dealt: DataFrame, dims: int, handle, schema: str) -> DataFrame:

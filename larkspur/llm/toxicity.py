@@ -128,11 +128,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Fit = Fit()) -> Machine
 
     # frequent terms that tell nothing alone, but much beside another
     often = np.sort(np.argsort(-every, kind="stable")[: how.pair_terms])
-    there = np.zeros((len(rows), len(often)), "float32")
-    for row, r in zip(there, rows, strict=True):
-        row[np.isin(some[often], r, assume_unique=True)] = 1
-    both, toxic = there.T @ there, there[labels == 1].T @ there[labels == 1]
-    both, toxic = both.astype(float), toxic.astype(float)
+    both, toxic = np.zeros((len(often), len(often))), np.zeros((len(often), len(often)))
+    for k in range(0, len(rows), 1024):
+        there = np.stack([np.isin(some[often], r, assume_unique=True) for r in rows[k : k + 1024]]).astype("float32")
+        both += there.T @ there
+        there = there[labels[k : k + 1024] == 1]
+        toxic += there.T @ there
     pair = g(toxic, both * pos / n) + g(both - toxic, both * (n - pos) / n) + g(pos - toxic, (n - both) * pos / n) + g(n - pos - both + toxic, (n - both) * (n - pos) / n)
     alone = np.maximum(score[often][:, None], score[often][None])
     tells = (pair > alone + how.pair_gain) & (both >= how.least) & ~np.eye(len(often), dtype=bool)
@@ -197,7 +198,10 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, how: Fit = Fit(), id_
     for r in sorted(found, key=lambda r: (r.id, bytes(r.buckets))):  # any order of rows fits the same model
         of.setdefault(r.id, []).append(np.frombuffer(r.buckets, "<i4"))
     pairs = [(row, r.label) for r in picked for row in of.get(r.id, [])]
-    return fit([p[0] for p in pairs], np.array([float(p[1] == 1) for p in pairs]), how)
+    model = fit([p[0] for p in pairs], np.array([float(p[1] == 1) for p in pairs]), how)
+    del found, of, pairs
+    C.trim()  # the driver's memory too
+    return model
 
 
 def use_on(use, name: str) -> Column:

@@ -327,6 +327,26 @@ def test_recall_does_not_fall_with_the_table():
     assert hit.mean() >= 0.9
 
 
+def test_rounded_vectors_decide_or_leave_it(spark):
+    """Bounds hold: what is called sure reaches the threshold, and what reaches it is sure or still to be verified."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 24)) * np.exp(r.normal(size=(400, 24)))
+    x[200:] = x[:200] + r.normal(size=(200, 24)) * r.choice([0.1, 0.35, 0.6], size=(200, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y, off = near_vectors.from_rough(near_vectors.rough(x), 24)
+    assert (np.linalg.norm(x - y, axis=1) <= off).all() and off.max() < 0.02
+    order = np.array([k for p in range(200) for k in (p, p + 200)])
+    cos = (x[:200] * x[200:]).sum(1)
+    found = {(a, b): sure for a, b, sure in near_vectors.close(order, np.zeros(400, int), y[order], off[order], 1, 0.9, near_vectors.Forest())}
+    for p in range(200):
+        sure = found.get((p, p + 200))
+        assert (sure is not True or cos[p] >= 0.9) and (cos[p] < 0.9 or sure is not None)
+    pairs = spark.createDataFrame([(p, p + 200) for p in range(200)], "a long, b long")
+    rows = spark.createDataFrame([(i, b"d" + v.tobytes()) for i, v in enumerate(x)], "vec_id long, v binary")
+    got = {r.a for r in near_vectors.verified(pairs, rows, 24, 0.9).collect()}
+    assert got == {p for p in range(200) if cos[p] >= 0.9} and 0 < len(got) < 200
+
+
 def test_vectors_without_links(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, near_vectors.near_duplicates(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
