@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages that each work on all that the one before kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of documents.
-Null texts are not toxic, have no language (rejected there), and so never reach the later stages.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of documents, of any
+type; columns that stages add for a while avoid the names that are taken.  Null and empty texts are not toxic, have no
+language (rejected there), and so never reach the later stages; very long ones pass whole.  Of repeated rows the first
+two stages keep or drop all, the third keeps one.  An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -43,7 +45,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if repeated.isEmpty():
         return kept
     (name,) = C.fresh(docs.columns, "_number")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    ties = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]  # maps have no order, their text has
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *ties))
     some = kept.join(repeated, "doc_id", "left_semi").withColumn(name, number).where(F.col(name) == 1).select(docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(some)
 
@@ -76,3 +79,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = C.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def store(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes what ``run`` gives as Parquet, then deletes every intermediate of this session."""
+    run(spark, sf_dir).write.parquet(path)
+    C.release(spark)
