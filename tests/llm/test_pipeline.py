@@ -69,6 +69,51 @@ def test_run_equals_the_stages_in_turn(spark, corpus):
     assert sorted(map(key, docs.collect())) == sorted(map(key, P.run(spark, folder).collect()))
 
 
+def test_run_equals_plain_loops(spark, corpus, tmp_path):
+    """What is kept, merged, redacted and packed, worked out row by row with the fitted models."""
+    from test_joins import brute_groups
+    from tokenizers import Tokenizer
+
+    from larkspur.llm import common as C
+    from larkspur.llm import language_id, pii, toxicity
+
+    folder, rows = corpus
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    judge, hasher = toxicity.learn(docs, labels, lambda i: ~C.held_out(i)), toxicity.Hasher(20)
+    left = [r for r in rows if judge.scores([hasher.buckets(r[1])])[0] < 0.5]
+    calm = spark.createDataFrame(left, SCHEMA)
+    speaks = language_id.learn(calm, language_id.not_held_out)
+    left = [r for r in left if not speaks.predict([r[1]], language_id.Fit().dims)[2][0]]
+    first = {i: c for i, _, c in brute_groups([(r[0], r[1]) for r in left])}
+    left = {r[0]: r for r in sorted(left, key=lambda r: r[1], reverse=True) if first[r[0]] == r[0]}
+    assert 200 < len(left) < 260
+    tokenizer, want = Tokenizer.from_file(P.tokenizer_path("word_bpe_49k.json")), {}
+    for i, (_, text, *_) in left.items():
+        base = pii.base_spans(text)
+        for a, kind, b in sorted([*base, *pii.added_spans(pii.trained(), [text], [base])[0]], reverse=True):
+            text = text[:a] + f"[{pii.KINDS[kind].upper()}]" + text[b:]
+        want[i] = len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    P.store(spark, folder, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.doc_id: r.length for r in got} == want and all((r.piece, r.start) == (0, 0) for r in got)
+    for name in {r.sequence_id for r in got}:
+        some, end = sorted((r.offset, r.length) for r in got if r.sequence_id == name), 0
+        for offset, length in some:
+            assert offset == end
+            end += length
+        assert end <= 4096
+    assert len({r.sequence_id for r in got}) == -(-sum(want.values()) // 4096)
+    assert C.release(spark) == 0
+
+
+def test_extra_columns_without_an_order(spark, corpus):
+    """A map beside rows that share an id."""
+    folder, rows = corpus
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "map('k', source) AS extra", "array(lang) AS more")
+    one = P.keep_one_of_each_group(spark, docs, folder).collect()
+    assert len(one) == len({r.doc_id for r in one}) and {r.doc_id for r in one} > {3, 7}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", [*queries.queries(), "pipeline"])
 def test_every_query_runs_over_whole_tables(spark, name):

@@ -159,3 +159,13 @@ def test_configurations_reach_the_known_optimum():
     # 3 of 2/5 and 2 of 3/5 a time: pairs of one each fill sequences wholly
     found = packing.configurations([60, 40], [100, 100], 100)
     assert abs(sum(x for _, x in found) - 100) < 1e-6
+
+
+def test_few_documents_are_grouped_too(monkeypatch):
+    """The plan of a small table comes from configurations as that of a large one does."""
+    asked = []
+    real = packing.configurations
+    monkeypatch.setattr(packing, "configurations", lambda sizes, demand, capacity: (asked.append((sizes, demand)), real(sizes, demand, capacity))[1])
+    plan = packing.plan({60: 1, 40: 1, 3: 2}, 100, 8, 12)
+    assert asked == [([60, 40], [1, 1])] and plan.sequences == 2
+    assert packing.plan({3: 2}, 100, 8, 12).sequences == 1 and len(asked) == 1
