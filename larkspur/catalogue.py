@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __main__ as command
 from .engine import Engine
-from .errors import NotNull, NotUnique
+from .errors import CommitConflict, EngineError, NotNull, NotUnique, SqlError
+from .plans import syntax
 
 #: Table and the column that its rows are ordered by, where it has one.
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id"}
@@ -44,6 +46,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "select_all": ("SELECT ALL r_name FROM region", "SELECT r_name FROM region"),
     "topn_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
     "order_full": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey", None),
+    "order_deep_offset": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 60 OFFSET 3000", None),
     "order_nulls": ("SELECT o_orderkey FROM orders_null ORDER BY o_orderstatus, o_orderkey LIMIT 50", "SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'P') NULLS FIRST, o_orderkey LIMIT 50"),
     "order_nulls_desc": ("SELECT o_orderkey FROM orders_null ORDER BY o_orderstatus DESC, o_orderkey DESC LIMIT 7000", "SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'P') DESC NULLS LAST, o_orderkey DESC LIMIT 7000"),
     "order_ordinal": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1 DESC, 2 LIMIT 20", None),
@@ -124,13 +127,14 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 SAME = "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier"
 
 
-def _refused(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
-    """What is left after statements that constraints refuse; one that passes is an error."""
+def _refused(*statements: str, first: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    """What is left after statements that constraints refuse; one that passes is an error.  ``first`` must pass."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = Engine(spark, _folder(spark))
         e.execute(SUPPLIER)
         e.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+        e.execute(first)
         for s in statements:
             try:
                 e.execute(s)
@@ -192,6 +196,141 @@ CHANGES |= {
 }
 
 
+def _indexed_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by an index whose rows were changed, removed and added since it was made."""
+    e = Engine(spark, _folder(spark))
+    e.execute(SUPPLIER)
+    e.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    e.execute("CREATE INDEX by_nation ON s (s_nationkey)")
+    e.execute("UPDATE s SET s_nationkey = 3 WHERE s_nationkey = 4; DELETE FROM s WHERE s_nationkey = 3 AND s_suppkey % 2 = 0")
+    e.execute("INSERT INTO s (s_name, s_nationkey) VALUES ('late', 3), ('later', 4)")
+    return e.query(f"{READ} WHERE s_nationkey = 3").frame
+
+
+def _conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of two transactions that were open at once: the first to commit wins, the other is refused."""
+    path = _folder(spark)
+    a, b = Engine(spark, path), Engine(spark, path)
+    a.execute(SUPPLIER)
+    a.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    a.execute("BEGIN; DELETE FROM s WHERE s_nationkey < 9")
+    b.execute("BEGIN; UPDATE s SET s_acctbal = 0; COMMIT")
+    try:
+        a.execute("COMMIT")
+    except CommitConflict:
+        return a.query(READ).frame
+    raise AssertionError("two writers committed one version")
+
+
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine finds and reads where a writer stopped within a transaction, and what a checkpoint clears away."""
+    path = _folder(spark)
+    e = Engine(spark, path)
+    e.execute(SUPPLIER)
+    e.load("s", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    e.execute("BEGIN; UPDATE s SET s_acctbal = 0")
+    again = Engine(spark, path)
+    found, cleared = again.recovery_report(), again.checkpoint()
+    after = Engine(spark, path)
+    left = after.query("SELECT s_suppkey FROM s WHERE s_acctbal <> 0").frame.count()
+    row = (found["version"], found["uncommitted_folders"] > 0, cleared == found["uncommitted_folders"], after.recovery_report()["uncommitted_folders"], left)
+    return spark.createDataFrame([row], "version long, found_some boolean, cleared_all boolean, still long, rows_left long")
+
+
+def _checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine reads that opens a store after more commits than a checkpoint keeps."""
+    path = _folder(spark)
+    e = Engine(spark, path)
+    e.execute("CREATE TABLE r (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+    e.load("r", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    for k in range(11):
+        e.execute(f"INSERT INTO r VALUES ({100 + k}, 'new')")
+    e.execute("VACUUM r; DELETE FROM r WHERE r_regionkey = 1")
+    assert e.checkpoint() == 0  # ten states back, all files are named still
+    e.execute("; ".join(f"DELETE FROM r WHERE r_regionkey = {k}" for k in range(100, 110)))
+    assert e.checkpoint() > 0
+    return Engine(spark, path).query("SELECT r_regionkey, r_name FROM r").frame
+
+
+def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ``strict_between`` any null makes BETWEEN unknown; by the standard, one bound may decide."""
+    e = Engine(spark, strict_between=True)
+    e.attach("nation", f"{sf_dir}/nation.parquet", "n_nationkey")
+    return e.query("SELECT n_nationkey, n_nationkey BETWEEN n_regionkey AND NULL AS inside, n_nationkey NOT BETWEEN NULL AND n_regionkey AS outside, n_nationkey BETWEEN 0 AND n_regionkey * 3 AS within FROM nation").frame
+
+
+def _created_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IF NOT EXISTS leaves a table as it is; without it the name is refused, as are two tables' keys in one."""
+    e = Engine(spark, _folder(spark))
+    e.execute("CREATE TABLE r (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+    e.load("r", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    e.execute("CREATE TABLE IF NOT EXISTS r (other TEXT)")
+    for bad in ("CREATE TABLE R (x INTEGER)", "CREATE TABLE two (x INTEGER PRIMARY KEY, y INTEGER PRIMARY KEY)"):
+        try:
+            e.execute(bad)
+        except EngineError:
+            continue
+        raise AssertionError(f"not refused: {bad}")
+    return e.query("SELECT * FROM r").frame
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement that is read, spelled out and read again."""
+    sql = "select o_orderkey k, -(o_custkey+1)*2 as x from orders where not (o_totalprice<=100000 or o_orderstatus like 'F%') and o_custkey between 10 and 400 order by 2 desc,k limit 40 offset 2"
+    return engine_over(spark, sf_dir).query(str(syntax.parse(sql))).frame
+
+
+#: Statement -> the piece of it that the error must point at.
+BROKEN = [("SELECT FROM nation", "FROM"), ("SELECT n_name nation WHERE", "WHERE"), ("DELETE nation", "nation"), ("INSERT INTO nation VALUES 1", "1"), ("SELECT 'é', 1 FROM nation LIMIT x", "x"), ("UPDATE nation SET = 4", "="), ("SELECT 1 +* 2 FROM nation", "* 2")]
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for sql, _ in BROKEN:
+        try:
+            syntax.parse(sql)
+        except SqlError as e:
+            out.append((sql, e.at))
+    return spark.createDataFrame(out, "statement string, at_byte long")
+
+
+#: Statement -> the class of its error, over the attached tables and an empty store.
+MISTAKES = [("SELECT x FROM nation", "UnknownColumn"), ("SELECT * FROM nowhere", "UnknownTable"), ("SELECT n_name FROM nation a JOIN nation b ON TRUE", "AmbiguousColumn"), ("COMMIT", "NoOpenTransaction"), ("DELETE FROM nation", "Unsupported"), ("CREATE TABLE t (x INTEGER); CREATE TABLE t (x INTEGER)", "TableExists"), ("INSERT INTO t VALUES ('a')", "TypeMismatch"), ("BEGIN; BEGIN", "TransactionAlreadyOpen")]
+
+
+def _mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, out = engine_over(spark, sf_dir, _folder(spark)), []
+    for sql, _ in MISTAKES:
+        try:
+            e.execute(sql)
+        except EngineError as error:
+            out.append((sql, type(error).__name__))
+    return spark.createDataFrame(out, "statement string, error string")
+
+
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's table of a result."""
+    out = engine_over(spark, sf_dir).query("SELECT r_name, r_regionkey > 2 AS late FROM region ORDER BY r_regionkey")
+    lines = command.printed(out.columns, out.rows()).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+
+
+CHANGES |= {
+    "index_violations": (_refused("CREATE UNIQUE INDEX by_nation ON s (s_nationkey)", "CREATE UNIQUE INDEX by_both ON s (s_nationkey, s_acctbal)", first="UPDATE s SET s_nationkey = 7, s_acctbal = s_suppkey / 2"), "SELECT s_suppkey, s_name, 7::BIGINT AS s_nationkey, (s_suppkey // 2)::DOUBLE AS s_acctbal FROM supplier"),
+    "index_keeps_unique": (_refused("INSERT INTO s (s_name) VALUES ('new'), ('new')", "UPDATE s SET s_name = 'same'", first="CREATE UNIQUE INDEX by_name ON s (s_name)"), SAME),
+    "index_after_changes": (_indexed_after_changes, "SELECT s_suppkey, s_name, 3::BIGINT AS s_nationkey, s_acctbal FROM supplier WHERE s_nationkey IN (3, 4) AND s_suppkey % 2 <> 0 UNION ALL SELECT max(s_suppkey) + 1, 'late', 3, NULL FROM supplier"),
+    "txn_conflict": (_conflict, "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, 0.0::DOUBLE AS s_acctbal FROM supplier"),
+    "recovery": (_recovered, "SELECT 2::BIGINT AS version, true AS found_some, true AS cleared_all, 0::BIGINT AS still, count(*) FILTER (s_acctbal <> 0) AS rows_left FROM supplier"),
+    "checkpoint": (_checkpointed, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 110, 'new'"),
+    "create_if_not_exists": (_created_once, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region"),
+    "between_strict": (_strict, "SELECT n_nationkey, NULL::BOOLEAN AS inside, NULL::BOOLEAN AS outside, n_nationkey <= n_regionkey * 3 AS within FROM nation"),
+    "rendered": (_rendered, "SELECT o_orderkey AS k, -(o_custkey + 1) * 2 AS x FROM orders WHERE NOT (o_totalprice <= 100000 OR o_orderstatus LIKE 'F%') AND o_custkey BETWEEN 10 AND 400 ORDER BY 2 DESC, k LIMIT 40 OFFSET 2"),
+    "error_places": (_broken, "SELECT statement, (strlen(split_part(statement, piece, 1)))::BIGINT AS at_byte FROM (VALUES " + ", ".join("('{}', '{}')".format(a.replace("'", "''"), b) for a, b in BROKEN) + ") t(statement, piece)"),
+    "error_kinds": (_mistakes, "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a.replace("'", "''"), b) for a, b in MISTAKES) + ") t(statement, error)"),
+    "printed_table": (_printed, "WITH r AS (SELECT r_regionkey, r_name, CASE WHEN r_regionkey > 2 THEN 'true' ELSE 'false' END AS late FROM region), w AS (SELECT greatest(6, max(length(r_name))) AS a, greatest(4, max(length(late))) AS b, count(*) AS n FROM r) SELECT 0::BIGINT AS line_no, rpad('r_name', a::INTEGER, ' ') || '  ' || rpad('late', b::INTEGER, ' ') AS line FROM w UNION ALL SELECT 1, repeat('-', a) || '  ' || repeat('-', b) FROM w UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), rpad(r_name, a::INTEGER, ' ') || '  ' || rpad(late, b::INTEGER, ' ') FROM r, w UNION ALL SELECT 2 + n, '(' || n || ' rows)' FROM w"),
+}
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, _folder(spark))
     e.execute("CREATE TABLE b (x INTEGER); CREATE TABLE a (x INTEGER)")

@@ -20,6 +20,8 @@ from .query import numbered, resolver
 
 #: Values of a column that a filter lists at most.
 KNOWN = 200
+#: Folders of fewer bytes than this are made one by VACUUM.
+SMALL = 128 << 20
 NAMES = {type(None): "NULL", bool: "BOOLEAN", int: "INTEGER", float: "REAL", str: "TEXT", bytes: "BLOB"}
 
 
@@ -277,24 +279,30 @@ def delete(store: Store, s: S.Delete, strict_between: bool = False) -> int:
 
 
 def vacuum(store: Store, names: list[str]) -> int:
-    """Rewrites tables without dead versions, in row order; counts the versions and the index entries that nothing
-    shows any more.  Dead is what transactions before this one removed: its own removals may yet be rolled back.  Files
-    that are replaced stay for readers of older states, until a checkpoint."""
+    """Rewrites, in row order, the folders that hold dead versions, and makes one of the small ones; counts the versions
+    and the index entries that nothing shows any more.  Dead is what transactions before this one removed: its own
+    removals may yet be rolled back.  Files that are replaced stay for readers of older states, until a checkpoint."""
     total = 0
     for name in names:
         e = store.entry(name)
-        tombs = store.tombs(e)
+        small = [f for f in e["data"] if store.folder.size(f) < SMALL]
+        rewritten = set(small) if len(small) > 1 else set()
+        every, tombs = store.versions(e), store.tombs(e)
         mine = F.col("_xmax") >= store.txid
         dead = tombs.where(~mine)
-        if not e["tombs"] or dead.isEmpty():
-            continue
-        every = store.versions(e)
-        kept = every.join(dead, ["_rowid", "_xmin"], "left_anti")
-        total += every.join(dead, ["_rowid", "_xmin"], "left_semi").count()
-        for columns in [i["columns"] for i in e["indexes"]]:
-            pick = [F.col(f"`{c}`") for c in ("_rowid", *columns)]
-            total += every.select(*pick).distinct().exceptAll(kept.select(*pick).distinct()).count()
-        folder = store.write(e, kept.repartitionByRange("_rowid").sortWithinPartitions("_rowid"))
-        e["tombs"] = [] if tombs.where(mine).isEmpty() else [store.write(e, tombs.where(mine))]
-        e["data"] = [folder]
+        if e["tombs"]:
+            folder = F.element_at(F.split("_metadata.file_path", "/"), -2).alias("_folder")
+            held = every.select("_rowid", "_xmin", folder).join(dead, ["_rowid", "_xmin"], "left_semi").groupBy("_folder").count().collect()
+            total += sum(r["count"] for r in held)
+            rewritten |= {f for f in e["data"] if f.rpartition("/")[2] in {r["_folder"] for r in held}}
+            if held:
+                kept = every.join(dead, ["_rowid", "_xmin"], "left_anti")
+                for columns in [i["columns"] for i in e["indexes"]]:
+                    pick = [F.col(f"`{c}`") for c in ("_rowid", *columns)]
+                    total += every.select(*pick).distinct().exceptAll(kept.select(*pick).distinct()).count()
+            still = tombs.where(mine)
+            e["tombs"] = [] if still.isEmpty() else [store.write(e, still)]
+        if rewritten:
+            some = store.versions({**e, "data": sorted(rewritten)}).join(dead, ["_rowid", "_xmin"], "left_anti")
+            e["data"] = [f for f in e["data"] if f not in rewritten] + [store.write(e, some.repartitionByRange("_rowid").sortWithinPartitions("_rowid"))]
     return total

@@ -105,5 +105,9 @@ class Folder:
             return 0.0
         return time.time() - youngest / 1000
 
+    def size(self, name: str) -> int:
+        """Bytes of a folder's files."""
+        return self.fs.getContentSummary(self._path(name)).getLength()
+
     def delete(self, name: str) -> bool:
         return self.fs.delete(self._path(name), True)

@@ -11,6 +11,7 @@ import pytest
 from larkspur import errors as E
 from larkspur.engine import Engine
 from larkspur.functions.values import evaluate, truth
+from larkspur.operators import changes
 from larkspur.plans.syntax import parse
 
 PARCEL = ("no", "city", "grams", "price", "paid")
@@ -360,6 +361,20 @@ def test_vacuum_counts_and_its_horizon(db):
     assert rows(db, "SELECT * FROM parcel") == [p for p in before if p[1] not in ("Gent", "Oslo")]
 
 
+def test_vacuum_rewrites_only_what_it_must(spark, tmp_path, monkeypatch):
+    db = Engine(spark, str(tmp_path / "db"))
+    db.execute("CREATE TABLE till (k INTEGER PRIMARY KEY, cents INTEGER); INSERT INTO till VALUES (1, 5); INSERT INTO till VALUES (2, 6); INSERT INTO till VALUES (3, 7)")
+    folders = lambda: db.store.manifest["tables"]["till"]["data"]
+    monkeypatch.setattr(changes, "SMALL", 0)
+    before = folders()
+    assert db.query("VACUUM").affected == 0 and folders() == before
+    db.execute("DELETE FROM till WHERE k = 2")
+    assert db.query("VACUUM").affected == 1 and set(before) - set(folders()) == {before[1]}
+    monkeypatch.setattr(changes, "SMALL", 1 << 20)
+    assert db.query("VACUUM").affected == 0 and len(folders()) == 1 and not db.store.manifest["tables"]["till"]["tombs"]
+    assert rows(db, "SELECT * FROM till") == [(1, 5), (3, 7)]
+
+
 def test_reopening_and_what_writers_left(spark, tmp_path):
     path = str(tmp_path / "db")
     db = Engine(spark, path)
