@@ -321,15 +321,24 @@ FORMS = [
 ]
 
 
-def test_tagger_on_forms_written_by_hand():
+#: Likewise, written before the generator was last widened, and not looked at for it.
+MORE_FORMS = [
+    (0, "s.t.smith [AT] mailbox [DOT] org"), (0, "info{at}shop{dot}example{dot}com"), (0, "bob_77 (at) uni.example.edu"), (0, "Petra.Klein @ web.example.de"), (0, "x9 [at] a-b.example.net"), (0, "team+press(at)news.example.org"), (0, "hello [ at ] studio [ dot ] fr"),
+    (1, "127 . 0 . 0 . 1"), (1, "203[.]0[.]113[.]99"), (1, "198{.}51{.}100{.}4"), (1, "1(.)2(.)3(.)4"), (1, "100-64-7-21"), (2, "3782.822463.10005"), (2, "4012.8888.8888.1881"), (2, "3056  9309  0259  04"), (2, "5105.1051.0510.5100"),
+    (3, "(212) 555 0187"), (3, "0171/555 01 23"), (3, "0043 1 58858 0"), (3, "(0711) 66 77 88-99"), (3, "312.555.0199"), (3, "0800-555-0142"), (3, "01 44 55 66 77"), (3, "02 9374 4000"), (3, "06-12345678"), (3, "1-800-555-0111"),
+]
+
+
+@pytest.mark.parametrize("forms", [FORMS, MORE_FORMS])
+def test_tagger_on_forms_written_by_hand(forms):
     model, hit, want = pii.trained(), 0, 0
-    for kind, value in FORMS:
+    for kind, value in forms:
         for before, after in (("Call or write: ", " any day."), ("data ", ", thanks\nmore"), ("Kontakt (privat) ", " ist neu"), ("", "")):
             text = before + value + after
             assert pii.base_spans(text) == []
             hit += (len(before), kind, len(before) + len(value)) in pii.added_spans(model, [text], [[]])[0]
             want += 1
-    assert hit / want > 0.75, (hit, want)
+    assert hit / want > 0.8, (hit, want)
 
 
 @pytest.mark.parametrize("size", [10, 40, 64, 100, 200])
