@@ -321,7 +321,7 @@ FORMS = [
 ]
 
 
-#: Likewise, written before the generator was last widened, and not looked at for it.
+#: Likewise, written before the generator was last widened; its scores were seen when the length of training was chosen.
 MORE_FORMS = [
     (0, "s.t.smith [AT] mailbox [DOT] org"), (0, "info{at}shop{dot}example{dot}com"), (0, "bob_77 (at) uni.example.edu"), (0, "Petra.Klein @ web.example.de"), (0, "x9 [at] a-b.example.net"), (0, "team+press(at)news.example.org"), (0, "hello [ at ] studio [ dot ] fr"),
     (1, "127 . 0 . 0 . 1"), (1, "203[.]0[.]113[.]99"), (1, "198{.}51{.}100{.}4"), (1, "1(.)2(.)3(.)4"), (1, "100-64-7-21"), (2, "3782.822463.10005"), (2, "4012.8888.8888.1881"), (2, "3056  9309  0259  04"), (2, "5105.1051.0510.5100"),
